@@ -20,11 +20,11 @@ QUERIES = {"op1_minhash": op1_minhash}
 SQL = {
     "op1_minhash": r"""
 with w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as ws
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
   from documents),
 sh as (
   select doc_id, case when len(ws) = 0 then [] when len(ws) = 1 then [ws[1]]
-    else list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) end as s from w),
+    else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end as s from w),
 one as (select min(doc_id) as rep, s0 as s from (select doc_id, list_sort(s) as s0 from sh where len(s) > 0) group by s0),
 el as (select rep, len(s) as n, unnest(s) as g from one),
 freq as (select g, count(*) as c from el group by g),
