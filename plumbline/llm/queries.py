@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,7 +16,37 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.group(_read(spark, sf_dir, "documents"), k=2)
 
 
-QUERIES = {"op1_minhash": op1_minhash}
+def _pieces_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import tokens
+
+    return tokens.token_counts(_read(spark, sf_dir, "documents"), _pieces_model())
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, a digest of the token ids, and whether they decode to the text."""
+    from plumbline.llm import tokens
+
+    coded = tokens.encode(_read(spark, sf_dir, "documents"), _pieces_model())
+    back = tokens.decode(coded, _pieces_model())
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")).alias("round_trip"),
+    )
+
+
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op9_token_counts": op9_token_counts,
+    "op10_sentencepiece": op10_sentencepiece,
+}
 
 SQL = {
     "op1_minhash": r"""
