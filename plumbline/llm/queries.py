@@ -22,6 +22,19 @@ def _pieces_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import pii
+
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import lines
+
+    docs = _read(spark, sf_dir, "documents")
+    return lines.judge(docs, lines.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import tokens
 
@@ -44,6 +57,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op7_pii": op7_pii,
+    "op8_line_quality": op8_line_quality,
     "op9_token_counts": op9_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
 }
