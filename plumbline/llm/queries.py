@@ -22,6 +22,12 @@ def _pieces_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import resample
+
+    return resample.weigh(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import pii
 
@@ -57,6 +63,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op3_resample": op3_resample,
     "op7_pii": op7_pii,
     "op8_line_quality": op8_line_quality,
     "op9_token_counts": op9_token_counts,
