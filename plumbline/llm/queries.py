@@ -28,6 +28,18 @@ def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.weigh(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import pages
+
+    return pages.extract(_read(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import mixing
+
+    return mixing.weigh(_read(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import pii
 
@@ -64,6 +76,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op3_resample": op3_resample,
+    "op4_pages": op4_pages,
+    "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_line_quality": op8_line_quality,
     "op9_token_counts": op9_token_counts,
