@@ -16,12 +16,18 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.group(_read(spark, sf_dir, "documents"), k=2)
 
 
-def _pieces_model() -> str:
+def pieces_model() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import ann
+
+    return ann.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import resample
 
@@ -34,6 +40,20 @@ def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(_read(spark, sf_dir, "pages"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a derived record, two a page: ids, links, lengths and digests."""
+    from plumbline.llm import warc
+
+    out = warc.build(warc.responses_of(_read(spark, sf_dir, "pages")))
+    return out.select(
+        "page_id", "kind", "record_id", "refers_to", "target_uri",
+        F.col("headers")["WARC-Block-Digest"].alias("block_digest"),
+        F.col("headers")["WARC-Payload-Digest"].alias("payload_digest"),
+        F.length("block").cast("long").alias("content_length"),
+        F.sha2("block", 256).alias("block_sha256"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import mixing
 
@@ -56,15 +76,15 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import tokens
 
-    return tokens.token_counts(_read(spark, sf_dir, "documents"), _pieces_model())
+    return tokens.token_counts(_read(spark, sf_dir, "documents"), pieces_model())
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, a digest of the token ids, and whether they decode to the text."""
     from plumbline.llm import tokens
 
-    coded = tokens.encode(_read(spark, sf_dir, "documents"), _pieces_model())
-    back = tokens.decode(coded, _pieces_model())
+    coded = tokens.encode(_read(spark, sf_dir, "documents"), pieces_model())
+    back = tokens.decode(coded, pieces_model())
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -75,8 +95,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_ann": op2_ann,
     "op3_resample": op3_resample,
     "op4_pages": op4_pages,
+    "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_line_quality": op8_line_quality,
