@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from plumbline.plans import rasters
+
+QUERIES: dict = dict(rasters.QUERIES)
+SQL: dict[str, str] = dict(rasters.SQL)
