@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import rasters
+from plumbline.plans import graphs, rasters
 
-QUERIES: dict = dict(rasters.QUERIES)
-SQL: dict[str, str] = dict(rasters.SQL)
+QUERIES: dict = rasters.QUERIES | graphs.QUERIES
+SQL: dict[str, str] = rasters.SQL | graphs.SQL
