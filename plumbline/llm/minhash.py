@@ -26,15 +26,16 @@ from pyspark.sql.window import Window
 
 from plumbline.llm._words import U, lower, mix, shingles, slices, word_hashes, words
 from plumbline.operators.components import connected_components
-from plumbline.session import materialise, ship
+from plumbline.session import drop_materialised, materialise, ship
 
 #: Slots of a signature are BANDS * ROWS; a pair at similarity 0.8 misses all bands with odds of 5 in a million.
 BANDS, ROWS = 40, 6
 SIMILARITY_PCT = 80
 #: Members of a bucket that are tested against the whole bucket in one further round.
-PIVOTS = 8
+PIVOTS = 256
 
-_LOW48 = U((1 << 48) - 1)
+#: Size of the bitmap that picks the texts to be read again: 4 MB.
+FILTER_BITS = 25
 
 
 def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -107,7 +108,9 @@ def _sketch(k: int, bands: int, rows: int):
         for batch in batches:
             for a, b, sets in _text_sets(batch.column(1), k):
                 n = np.array([len(s) for s in sets], np.int64)
-                keys = band_keys(signatures(sets, bands * rows), bands, rows)
+                sig = signatures(sets, bands * rows)
+                keys = band_keys(sig, bands, rows)
+                low = mix(sig).astype(np.uint8)
                 with np.errstate(over="ignore"):
                     f1 = np.array([mix(s).sum(dtype=U) if len(s) else U(0) for s in sets], U).view(np.int64)
                     f2 = np.array([mix(s ^ U(0xD1B54A32D192ED03)).sum(dtype=U) if len(s) else U(0) for s in sets], U)
@@ -120,16 +123,42 @@ def _sketch(k: int, bands: int, rows: int):
                         pa.array(f1),
                         pa.array(f2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offs), pa.array(keys[n > 0].reshape(-1))),
+                        pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    ["doc_id", "n", "f1", "f2", "keys"],
+                    ["doc_id", "n", "f1", "f2", "keys", "sig"],
                 )
 
     return kernel
 
 
-def _sets(k: int):
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U)) >> U(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids: 2^FILTER_BITS bits whatever the number of ids, so that it may be broadcast.
+
+    It lets through every id of the table, and others at the rate at which it is filled.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bit(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["w", "m"])
+
+    t = ids.mapInArrow(bits, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[t["w"].to_numpy()] = t["m"].to_numpy()
+    return out
+
+
+def _sets(k: int, only):
+    """Shingle sets of the texts whose ids pass a broadcast bitmap: no shuffle of texts."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = _bit(batch.column(0).to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array((only.value[at >> 6] >> (at & 63)) & 1 == 1))
             for a, b, sets in _text_sets(batch.column(1), k):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -154,24 +183,73 @@ def _verify(pct: int):
     return kernel
 
 
-def _links(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs (src, dst) whose full shingle sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "src").join(right, "dst").select("src", "dst", "x", "y")
-    return both.mapInArrow(_verify(pct), "src long, dst long")
+def _alike(slots: int, pct: int):
+    """Pairs whose signatures agree in enough slots: six standard deviations below what the similarity gives.
+
+    A pair at the similarity falls below with odds of one in a billion; each slot is compared by one byte, which can
+    only add agreement.
+    """
+    share = pct / 100
+    least = slots * share - 6 * (slots * share * (1 - share)) ** 0.5
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, slots) for k in (2, 3))
+            mask = pa.array((x == y).sum(1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["src", "dst"])
+
+    return kernel
+
+
+def _with(pairs: DataFrame, table: DataFrame, col: str) -> DataFrame:
+    left = table.select(F.col("doc_id").alias("src"), F.col(col).alias("x"))
+    right = table.select(F.col("doc_id").alias("dst"), F.col(col).alias("y"))
+    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "x", "y")
+
+
+class _Tests:
+    """Tests of pairs of ids: first on signatures, those that pass on full sets; no pair twice."""
+
+    def __init__(self, texts: DataFrame, sigs: DataFrame, k: int, pct: int, slots: int):
+        self.texts, self.sigs, self.k, self.pct, self.slots = texts, sigs, k, pct, slots
+        self.sets: DataFrame | None = None
+        self.tested: DataFrame | None = None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["src", "dst"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        near = materialise(
+            _with(pairs, self.sigs, "sig").mapInArrow(_alike(self.slots, self.pct), "src long, dst long"), "near"
+        )
+        ids = near.select(F.col("src").alias("doc_id")).unionByName(near.select(F.col("dst").alias("doc_id"))).distinct()
+        if self.sets is not None:  # sets are made once for each document that needs one
+            ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
+        only = self.texts.sparkSession.sparkContext.broadcast(_filter(ids))
+        more = self.texts.where("doc_id is not null").mapInArrow(_sets(self.k, only), "doc_id long, shingles binary")
+        more = more.where("length(shingles) > 0")
+        if self.sets is not None:
+            more = more.join(ids, "doc_id", "left_semi")  # what the bitmap lets through besides may be there already
+        more = materialise(more, "sets")
+        self.sets = more if self.sets is None else self.sets.unionByName(more)
+        return materialise(_with(near, self.sets, "shingles").mapInArrow(_verify(self.pct), "src long, dst long").distinct(), "links")
 
 
 def group(
     docs: DataFrame, k: int = 5, pct: int = SIMILARITY_PCT, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialise(
-        texts.mapInArrow(_sketch(k, bands, rows), "doc_id long, n long, f1 long, f2 long, keys array<long>"), "sketch"
-    )
+        texts.mapInArrow(
+            _sketch(k, bands, rows), "doc_id long, n long, f1 long, f2 long, keys array<long>, sig binary"
+        ), "sketch",
+    )
     full = sketch.where("doc_id is not null and n > 0")
     # one representative for each distinct set; partial aggregation takes hot copies down to a row a task
     firsts = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
@@ -179,68 +257,60 @@ def group(
         full.select("doc_id", "n", "f1", "f2").join(firsts, ["n", "f1", "f2"]).select("doc_id", "n", "rep"), "members"
     )
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    banded = (
-        full.join(reps, "doc_id", "left_semi")
-        .select("doc_id", F.col("n").alias("n"), F.explode("keys").alias("key"))
-        .distinct()
-    )
+    of_reps = full.join(reps, "doc_id", "left_semi")
     # copies of one id with different texts keep all their buckets: the id is one vertex
+    banded = materialise(of_reps.select("doc_id", "n", F.explode("keys").alias("key")), "banded")
     lead = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).where("lead < other")
-    buckets = materialise(banded.join(lead.select("key", "lead"), "key"), "buckets")  # only buckets with two or more
-    sizes = members.select("doc_id", "n").distinct()
-    pairs = materialise(
-        _near_sizes(
-            buckets.where("doc_id <> lead").select(F.col("doc_id").alias("src"), F.col("lead").alias("dst"), "n").distinct(),
-            sizes, pct,
-        ),
-        "pairs",
+    buckets = materialise(banded.join(lead.select("key", "lead"), "key").where("doc_id <> lead"), "buckets")
+    drop_materialised(banded)
+    sigs = materialise(of_reps.select("doc_id", "n", "sig"), "sigs")
+    tests = _Tests(texts, sigs, k, pct, bands * rows)
+    sizes = sigs.select(F.col("doc_id").alias("dst"), F.col("n").alias("m"))
+    stars = buckets.select(F.col("doc_id").alias("src"), F.col("lead").alias("dst"), "n").distinct()
+    links = tests.links(
+        stars.join(sizes, "dst").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * pct).select("src", "dst")
     )
-    # ids of all that share a bucket: only their sets are made again for the tests on full sets
-    needed = buckets.select("doc_id").distinct()
-    sets = (
-        texts.join(needed, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary").where("length(shingles) > 0")
-    )
-    links = materialise(_links(pairs, _for(sets, pairs), pct), "links")
-    same = members.where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     # an id whose rows have different sets joins the groups of all of them
     odd = members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id")
     odd_links = members.join(odd, "doc_id", "left_semi").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     labels = materialise(connected_components(links.unionByName(odd_links)), "labels")
 
-    rest = buckets.where("doc_id <> lead").select("key", "doc_id", "n")
+    rest, hubs = buckets.select("key", "doc_id", "n"), True
     while True:
         # the buckets that still hold more than one group; those already tested against all others have left
         lab = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
             "comp", F.coalesce("component", "doc_id")
         )
-        mixed = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        rest = materialise(lab.join(mixed.select("key", "hi"), "key").select("key", "doc_id", "n", "comp", "hi"), "mixed")
+        per = lab.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("groups"))
+        rest = materialise(
+            lab.join(mixed.where("groups > 1").select("key", "main"), "key").select("key", "doc_id", "n", "comp", "main"), "mixed"
+        )
         if rest.isEmpty():
             break
-        turn = Window.partitionBy("key").orderBy("doc_id")
-        # pivots are of any group but the bucket's main one (its most frequent)
-        per = rest.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        main = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        # pivots: first the member with most links of each bucket, as long as such hubs find links (they tie the
+        # others together); then members of any group but the main one, until none is left
+        ends = links.select(F.col("src").alias("doc_id")).unionByName(links.select(F.col("dst").alias("doc_id")))
+        degree = ends.groupBy("doc_id").agg(F.count("*").alias("deg"))
+        turn = Window.partitionBy("key").orderBy(F.desc("deg"), "doc_id")
         pivot = materialise(
-            rest.join(main, "key").where("comp <> main").withColumn("turn", F.row_number().over(turn))
-            .where(F.col("turn") <= pivots).select("key", F.col("doc_id").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn")),
+            rest.where("true" if hubs else "comp <> main").join(degree, "doc_id", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+            .withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= (1 if hubs else pivots))
+            .select("key", F.col("doc_id").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn")),
             "pivots",
-        )
-        more = materialise(
+        )
+        found = tests.links(
             rest.join(pivot, "key").where("comp <> pcomp")
             .where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * pct)
-            .select(F.greatest("doc_id", "pivot").alias("src"), F.least("doc_id", "pivot").alias("dst")).distinct(),
-            "pairs",
-        )
-        links = materialise(links.unionByName(_links(more, _for(sets, more), pct)).distinct(), "links")
+            .select(F.greatest("doc_id", "pivot").alias("src"), F.least("doc_id", "pivot").alias("dst"))
+        )
+        hubs = hubs and not found.isEmpty()
+        links = links.unionByName(found)
         labels = materialise(connected_components(links.unionByName(odd_links)), "labels")
         rest = rest.join(pivot.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti").select("key", "doc_id", "n")
 
     of_rep = labels.select(F.col("node").alias("rep"), "component")
-    found = (
-        members.join(of_rep, "rep", "left")
-        .select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    )
+    found = members.join(of_rep, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return (
         sketch.select("doc_id", F.col("n").alias("n_shingles"))
@@ -250,19 +320,6 @@ def group(
     )
 
 
-def _for(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.col("src").alias("doc_id")).unionByName(pairs.select(F.col("dst").alias("doc_id"))).distinct()
-    return materialise(sets.join(ids, "doc_id", "left_semi"), "sets")
-
-
-def _near_sizes(stars: DataFrame, sizes: DataFrame, pct: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity at all."""
-    lead = sizes.select(F.col("doc_id").alias("dst"), F.col("n").alias("m"))
-    return (
-        stars.join(lead, "dst").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * pct).select("src", "dst").distinct()
-    )
-
-
 def dedup(docs: DataFrame, k: int = 5, pct: int = SIMILARITY_PCT) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id, once."""
     found = group(docs, k, pct)

@@ -92,7 +92,7 @@ def shape_features(edges: DataFrame, points: DataFrame, include_self: bool = Fal
     return moments(edges, points, include_self).mapInPandas(kernel, "pid long, e1 float, e2 float, e3 float, nz float")
 
 
-def vote(queries: DataFrame, seeds: DataFrame, k: int = 5, size: float = 1.0) -> DataFrame:
+def vote(queries: DataFrame, seeds: DataFrame, k: int = 5, size: float = 4.0) -> DataFrame:
     """(pid, label): most frequent label of the k nearest seeds (pid, x, y, z, label), ties to the lowest label."""
     near = knn(seeds, k, size, queries)
     lab = near.join(seeds.select(F.col("pid").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("c"))

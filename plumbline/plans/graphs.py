@@ -42,7 +42,7 @@ _NN = _S + f", nn as (select a.pid as src, b.pid as dst, {_D2} as d2, row_number
 
 @query("knn_small", _NN + " select src, cast(rank as int) as rank, dst, d2 from nn where rank <= 5")
 def _(spark, d):
-    return K.knn(small(spark, d), 5, 2.0).select("src", "rank", "dst", "d2")
+    return K.knn(small(spark, d), 5, 8.0).select("src", "rank", "dst", "d2")
 
 
 _EDGES = _NN.replace("a.pid <> b.pid)", f"a.pid <> b.pid and {_D2} <= 625e-2)") + ", e as (select src, dst, cast(sqrt(d2) as float) as len from nn where rank <= 10)"
@@ -63,7 +63,7 @@ def _(spark, d):
 @query("shape_features")
 def _(spark, d):
     p = small(spark, d)
-    return K.shape_features(K.knn(p, 8, 2.0), p)
+    return K.shape_features(K.knn(p, 8, 8.0), p)
 
 
 @query("residue_vote", _NN.replace("from s a join s b on a.pid <> b.pid", "from s a join s b on a.pid % 5 = 0 and b.pid % 5 <> 0")

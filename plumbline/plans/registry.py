@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import graphs, rasters
+from plumbline.plans import graphs, kernels, rasters
 
-QUERIES: dict = rasters.QUERIES | graphs.QUERIES
-SQL: dict[str, str] = rasters.SQL | graphs.SQL
+QUERIES: dict = rasters.QUERIES | graphs.QUERIES | kernels.QUERIES
+SQL: dict[str, str] = rasters.SQL | graphs.SQL | kernels.SQL
