@@ -36,6 +36,8 @@ PIVOTS = 256
 
 #: Size of the bitmap that picks the texts to be read again: 4 MB.
 FILTER_BITS = 25
+#: Up to so many ids (1 MB) are broadcast as they are, after a count.
+FEW = 50_000
 
 
 def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -153,12 +155,12 @@ def _filter(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(k: int, only):
-    """Shingle sets of the texts whose ids pass a broadcast bitmap: no shuffle of texts."""
+    """Shingle sets of the texts, of those whose ids pass a broadcast bitmap if there is one: no shuffle of texts."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _bit(batch.column(0).to_numpy(zero_copy_only=False))
-            batch = batch.filter(pa.array((only.value[at >> 6] >> (at & 63)) & 1 == 1))
+            if only is not None:
+                batch = batch.filter(_passes(batch.column(0), only.value))
             for a, b, sets in _text_sets(batch.column(1), k):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -224,19 +226,49 @@ class _Tests:
         pairs = materialise(pairs, "pairs")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         near = materialise(
-            _with(pairs, self.sigs, "sig").mapInArrow(_alike(self.slots, self.pct), "src long, dst long"), "near"
+            _with(pairs, self._of(self.sigs, pairs), "sig").mapInArrow(_alike(self.slots, self.pct), "src long, dst long"), "near"
         )
-        ids = near.select(F.col("src").alias("doc_id")).unionByName(near.select(F.col("dst").alias("doc_id"))).distinct()
+        ids = _ends(near)
         if self.sets is not None:  # sets are made once for each document that needs one
             ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
-        only = self.texts.sparkSession.sparkContext.broadcast(_filter(ids))
-        more = self.texts.where("doc_id is not null").mapInArrow(_sets(self.k, only), "doc_id long, shingles binary")
-        more = more.where("length(shingles) > 0")
-        if self.sets is not None:
-            more = more.join(ids, "doc_id", "left_semi")  # what the bitmap lets through besides may be there already
-        more = materialise(more, "sets")
-        self.sets = more if self.sets is None else self.sets.unionByName(more)
-        return materialise(_with(near, self.sets, "shingles").mapInArrow(_verify(self.pct), "src long, dst long").distinct(), "links")
+        ids = materialise(ids, "ids")
+        n = ids.count()
+        if n:
+            texts = self.texts.where("doc_id is not null")
+            if n <= FEW:
+                texts, only = texts.join(F.broadcast(ids), "doc_id", "left_semi"), None
+            else:
+                only = self.texts.sparkSession.sparkContext.broadcast(_filter(ids))
+            more = texts.mapInArrow(_sets(self.k, only), "doc_id long, shingles binary").where("length(shingles) > 0")
+            if only is not None and self.sets is not None:
+                more = more.join(ids, "doc_id", "left_semi")  # what the bitmap lets through besides may be there already
+            more = materialise(more, "sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        if self.sets is None:
+            return near
+        full = _with(near, self._of(self.sets, near), "shingles")
+        return materialise(full.mapInArrow(_verify(self.pct), "src long, dst long").distinct(), "links")
+
+    def _of(self, table: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows of a table by id that some pair needs (and few others), so that the rest is not shuffled."""
+        only = table.sparkSession.sparkContext.broadcast(_filter(_ends(pairs)))
+        names = [f.name for f in table.schema]
+
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                mask = _passes(batch.column(0), only.value)
+                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], names)
+
+        return table.mapInArrow(kernel, table.schema)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("src").alias("doc_id")).unionByName(pairs.select(F.col("dst").alias("doc_id"))).distinct()
+
+
+def _passes(ids: pa.Array, bitmap: np.ndarray) -> pa.Array:
+    at = _bit(ids.to_numpy(zero_copy_only=False))
+    return pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
 
 
 def group(
@@ -264,7 +296,7 @@ def group(
     buckets = materialise(banded.join(lead.select("key", "lead"), "key").where("doc_id <> lead"), "buckets")
     drop_materialised(banded)
     sigs = materialise(of_reps.select("doc_id", "n", "sig"), "sigs")
-    tests = _Tests(texts, sigs, k, pct, bands * rows)
+    tests = _Tests(texts, sigs.select("doc_id", "sig"), k, pct, bands * rows)
     sizes = sigs.select(F.col("doc_id").alias("dst"), F.col("n").alias("m"))
     stars = buckets.select(F.col("doc_id").alias("src"), F.col("lead").alias("dst"), "n").distinct()
     links = tests.links(
