@@ -251,7 +251,12 @@ class _Tests:
 
     def _of(self, table: DataFrame, pairs: DataFrame) -> DataFrame:
         """The rows of a table by id that some pair needs (and few others), so that the rest is not shuffled."""
-        only = table.sparkSession.sparkContext.broadcast(_filter(_ends(pairs)))
+        return self.some(table, _ends(pairs))
+
+    @staticmethod
+    def some(table: DataFrame, ids: DataFrame) -> DataFrame:
+        """The rows of a table whose ids pass the bitmap of ``ids``."""
+        only = table.sparkSession.sparkContext.broadcast(_filter(ids))
         names = [f.name for f in table.schema]
 
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,10 +336,21 @@ def group(
             .select("key", F.col("doc_id").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn")),
             "pivots",
         )
+        left, right = rest, pivot
+        if not hubs:
+            # a pair that shares several buckets is tested in the one with the least key only: every bucket tests all
+            # its pairs of different groups in the end, so none is lost
+            ids = rest.select("doc_id").distinct()
+            own = tests.some(full.select("doc_id", "keys"), ids).groupBy("doc_id").agg(F.flatten(F.collect_set("keys")).alias("keys"))
+            own = materialise(own, "keys")
+            left = rest.join(own, "doc_id")
+            right = pivot.join(own.select(F.col("doc_id").alias("pivot"), F.col("keys").alias("pkeys")), "pivot")
+        near = (F.col("comp") != F.col("pcomp")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * pct)
+        if not hubs:
+            near = near & (F.array_min(F.array_intersect("keys", "pkeys")) == F.col("l.key"))
+        both = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & near)
         found = tests.links(
-            rest.join(pivot, "key").where("comp <> pcomp")
-            .where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * pct)
-            .select(F.greatest("doc_id", "pivot").alias("src"), F.least("doc_id", "pivot").alias("dst"))
+            both.select(F.greatest("doc_id", "pivot").alias("src"), F.least("doc_id", "pivot").alias("dst"))
         )
         hubs = hubs and not found.isEmpty()
         links = links.unionByName(found)
