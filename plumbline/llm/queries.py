@@ -83,14 +83,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, a digest of the token ids, and whether they decode to the text."""
     from plumbline.llm import tokens
 
-    coded = tokens.encode(_read(spark, sf_dir, "documents"), pieces_model())
-    back = tokens.decode(coded, pieces_model())
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")).alias("round_trip"),
-    )
+    return tokens.round_trip(_read(spark, sf_dir, "documents"), pieces_model())
 
 
 QUERIES = {

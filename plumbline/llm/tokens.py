@@ -15,7 +15,9 @@ library does, the sign for a visible space (U+2581) counts as a space, and decod
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,28 +88,65 @@ def token_counts(
     )
 
 
-def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, ids): the token ids of every whole text."""
+def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """(id, text, ids): the token ids of every whole text; without the text, if it is not to be kept."""
     model = _model(df, model_path)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.table_for(model.value)
         for batch in batches:
             for run in pieces.runs(table, batch.column(1)):
-                cut = [c.slice(run.a, run.b - run.a) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*cut, _lists(*run.ids())], [id_col, text_col, "ids"])
+                cut = [c.slice(run.a, run.b - run.a) for c in batch.columns[: 1 + keep_text]]
+                yield pa.RecordBatch.from_arrays([*cut, _lists(*run.ids())], [id_col, *[text_col] * keep_text, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(kernel, f"`{id_col}` {kind}, `{text_col}` string, ids array<int>")
+    text = f"`{text_col}` string, " if keep_text else ""
+    return df.select(id_col, text_col).mapInArrow(kernel, f"`{id_col}` {kind}, {text}ids array<int>")
 
 
-def decode_batch(ids: pa.Array, table: list[bytes]) -> pa.Array:
-    """Texts of lists of token ids; bytes that are no UTF-8 become U+FFFD, as in the library."""
-    out = []
-    for row in ids.to_pylist():
-        raw = b"".join([table[t] for t in row or ()]).replace(pieces.SPACE.encode(), b" ")
-        out.append(raw[raw[:1] == b" " :].decode("utf-8", "replace"))
-    return pa.array(out, pa.string())
+class Decoder:
+    """Texts of lists of token ids, by gathering the bytes of all pieces at once."""
+
+    def __init__(self, table: list[bytes]):
+        plain = [t.replace(pieces.SPACE.encode(), b" ") for t in table]
+        self.size = np.array([len(t) for t in plain], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes_ = np.frombuffer(b"".join(plain), np.uint8)
+
+    def texts(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
+        """Bytes of each text, without the space that stands before the first piece."""
+        n = self.size[ids]
+        end = np.cumsum(n)
+        out = self.bytes_[np.arange(end[-1] if len(end) else 0) + np.repeat(self.at[ids] - (end - n), n)].tobytes()
+        cut = np.concatenate(([0], end))[begin].tolist()
+        return [out[a + (out[a : a + 1] == b" ") : b] if b > a else b"" for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+@lru_cache(maxsize=2)
+def _decoder(model: bytes) -> Decoder:
+    return Decoder(pieces.load(model).texts)
+
+
+def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, round_trip): encode and decode every whole text; the digest is of 32-bit ids."""
+    model = _model(df, model_path)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, decoder = pieces.table_for(model.value), _decoder(model.value)
+        for batch in batches:
+            for run in pieces.runs(table, batch.column(1)):
+                ids, begin = run.ids()
+                source = pc.replace_substring(pc.fill_null(batch.column(1).slice(run.a, run.b - run.a), ""), pieces.SPACE, " ").to_pylist()
+                same = [x.encode() == y for x, y in zip(source, decoder.texts(ids, begin), strict=True)]
+                raw = ids.astype("<i4").tobytes()
+                marks = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(run.a, run.b - run.a), pa.array(np.diff(begin)), pa.array(marks, pa.string()), pa.array(same, pa.bool_())],
+                    [id_col, "n_tokens", "ids_sha256", "round_trip"],
+                )
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(kernel, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, round_trip boolean")
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -116,14 +155,17 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
     at = df.columns.index(ids_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.load(model.value).texts
+        decoder = _decoder(model.value)
         for batch in batches:
-            step = 1000
+            step = 500
             for k in range(0, batch.num_rows, step):
                 part = batch.slice(k, step)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, decode_batch(part.column(at), table)], [*part.schema.names, out_col]
-                )
+                lists = pc.fill_null(part.column(at), pa.scalar([], part.column(at).type))
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                raw = decoder.texts(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes))))
+                # bytes that are no UTF-8 become U+FFFD, as in the library
+                text = pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, text], [*part.schema.names, out_col])
 
     from pyspark.sql.types import StringType, StructField, StructType
 
