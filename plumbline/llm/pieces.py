@@ -13,8 +13,10 @@ if its border to the last token of the shorter prefix holds; exactly one is. The
 two tokens step by step and asks whether the parts at the border would have merged first. Segments of equal length
 advance together as matrix columns.
 
-Segments are cut where no piece can cross: before a space that follows another character, and around control
-characters. Characters that are in no piece become byte pieces, one for each byte.
+Segments are cut before a space that follows another character and beside control characters, but only where the two
+characters at the cut stand side by side in no piece of the vocabulary (by their bytes at the border): every merge
+across a cut would make a piece that holds them, so none can cross. Characters that are in no piece become byte
+pieces, one for each byte.
 """
 
 from __future__ import annotations
@@ -58,6 +60,7 @@ class Pieces:
     texts: list[bytes]  # bytes of each piece; byte pieces give their byte
     max_len: int
     seen: np.ndarray  # whether any key has these top 20 bits
+    joined: np.ndarray  # whether some piece holds these two bytes side by side, the space sign as one space
 
     def unknown(self) -> int:
         return len(self.hashes) - 1
@@ -203,6 +206,14 @@ def _merge(text: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str]
     return parts, pair
 
 
+def _joined(texts: list[str]) -> np.ndarray:
+    out = np.zeros((256, 256), bool)
+    for t in texts:
+        b = np.frombuffer(t.replace(SPACE, " ").encode(), np.uint8)
+        out[b[:-1], b[1:]] = True
+    return out
+
+
 @lru_cache(maxsize=2)
 def load(model: bytes) -> Pieces:
     """Read a sentencepiece model with merge-ordered pieces, byte fallback and no text normalisation."""
@@ -250,10 +261,12 @@ def load(model: bytes) -> Pieces:
     seen[h[multi] >> U(44)] = True
     byte0 = next(i for i, p in enumerate(proto.pieces) if p.type == 6)
     texts = [bytes([i - byte0]) if p.type == 6 else p.piece.encode() if p.type == 1 else b"" for i, p in enumerate(proto.pieces)]
-    return Pieces(h[multi][by], multi[by].astype(np.int32), h, lens, rk, left, right, whole, single, n, byte0, texts, int(lens.max()), seen)
+    keys, key_ids = h[multi][by], multi[by].astype(np.int32)
+    longest = int(lens.max())
+    return Pieces(keys, key_ids, h, lens, rk, left, right, whole, single, n, byte0, texts, longest, seen, _joined(list(ids)))
 
 
-def segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(buf: np.ndarray, off: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes with a space before every text that is not empty; starts, ends and texts of its segments."""
     n = np.diff(off)
     lead = n > 0
@@ -266,7 +279,8 @@ def segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     space, ctl = out == 0x20, out < 0x20
     start = np.zeros(len(out), bool)
     start[new[:-1][lead]] = True
-    start[1:] |= (space[1:] & ~space[:-1]) | ctl[1:] | ctl[:-1]
+    cut = np.flatnonzero((space[1:] & ~space[:-1]) | ctl[1:] | ctl[:-1])
+    start[cut[~joined[out[cut], out[cut + 1]]] + 1] = True
     starts = np.flatnonzero(start)
     ends = np.append(starts[1:], len(out))
     return out, starts, ends, np.searchsorted(new, starts, "right") - 1
@@ -389,7 +403,7 @@ def runs(table: Table, column: pa.Array):
     column = pc.fill_null(column.cast(pa.large_string()), "")
     column = pc.replace_substring(column, SPACE, " ")
     for a, b, raw, off in slices(column):
-        buf, s, e, rows = segments(raw, off)
+        buf, s, e, rows = segments(raw, off, table.p.joined)
         slot = table.look(word_hashes(buf, s, e), buf, s, e)
         yield Run(a, b, table, slot, np.searchsorted(rows, np.arange(b - a + 1)))
 

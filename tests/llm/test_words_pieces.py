@@ -62,3 +62,22 @@ def test_operators(spark, lib):
     assert counts == [len(lib.encode("a    b"[:k])) for k in range(1, 7)]
     none = df.where("false")
     assert tokens.token_counts(none, MODEL).count() == tokens.encode(none, MODEL).count() == 0
+
+
+def test_control_characters_inside_pieces(lib, table):
+    r = random.Random(11)
+    held = [p for k in range(lib.get_piece_size()) if len(p := lib.id_to_piece(k)) > 1 and any(c < " " for c in p)]
+    assert any("\r" in p for p in held)
+    t = ["foo();\r\nbar", "\r\r\r\n {\r\n}\r", "\r" * 700, *(f"a{p}\nb" for p in held)]
+    t += ["".join(r.choice([*"ab ;(){.,\r\r\n\t\x00é", "();\r\n", *held]) for _ in range(r.randint(1, 30))) for _ in range(300)]
+    t = [x.replace(pieces.SPACE, " ") for x in t]
+    got = []
+    for run in pieces.runs(table, pa.array(t)):
+        ids, o = run.ids()
+        got += [ids[o[k] : o[k + 1]].tolist() for k in range(run.b - run.a)]
+    assert got == lib.encode(t)
+    for x in t[:60]:
+        if len(x) > 200:
+            continue
+        for run in pieces.runs(table, pa.array([x])):
+            assert run.prefixes()[0].tolist() == [len(lib.encode(x[:k])) for k in range(1, len(x) + 1)]
