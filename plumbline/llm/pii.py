@@ -55,7 +55,8 @@ SPELLED = {
     "cinq": "5", "sept": "7", "huit": "8", "neuf": "9", "cero": "0", "uno": "1", "dos": "2", "tres": "3",
     "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "un": "1",
 }
-# Last labels of host names that a disguise without brackets must end in.
+# Last labels of host names that a disguise with one sign in words, or a host that begins with an article,
+# must end in; a disguise with both signs ends in any letters.
 ENDINGS = (
     "com org net edu gov mil int info biz io co ai app dev me tv us uk de fr es it nl eu ch at be se no fi dk pl pt ca au jp cn in br mx ru"
 ).split()
@@ -65,17 +66,23 @@ _WORD = "(?:" + "|".join(sorted(map(re.escape, SPELLED), key=len, reverse=True))
 _SEP = r"[\x20\t\n.,()-]{1,3}"
 _SPELL = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\x20-]*)?(?:{_WORD}|[0-9]+)(?:{_SEP}(?:{_WORD}|[0-9]+)){{3,}}(?!\w)", re.I)
 _SPELL_ONE = re.compile(rf"plus|{_WORD}", re.I)
-_SPELL_HINT = re.compile(rf"(?<!\w){_WORD}{_SEP}{_WORD}{_SEP}{_WORD}(?!\w)", re.I)
+_SPELL_HINT = re.compile(rf"(?<!\w)(?:plus)?{_WORD}(?!\w)", re.I)
 _BRACKET_HINT = re.compile(r"[\[({<]\s*(?:at|dot|@|\.|punkt|punto|point|arroba|arobase|ät)\s*[\])}>]", re.I)
 _AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|arobase|ät)\s*[\])}>]\s*", re.I)
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*", re.I)
+_LOCAL = r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*"
 _PLAIN = re.compile(
-    r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*(\s+at\s+|\s*@\s*)"
+    _LOCAL + r"(\s+at\s+|\s*@\s*)"
     r"[A-Za-z0-9-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]+)*?(?:\.|\s+dot\s+)(?:" + "|".join(ENDINGS) + r")(?![\w-])",
     re.I,
 )
+# both signs disguised; labels after a plain dot are taken in by the detector
+_BOTH = re.compile(
+    _LOCAL + r"(\s+at\s+(?!(?:the|an?)\s)|\s*@\s*)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{2,}(?![\w-])", re.I
+)
 _PLAIN_DOT = re.compile(r"\s+dot\s+", re.I)
-_PLAIN_HINT = re.compile(r"\sdot\s", re.I)
+_NUMBER_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
+_PLAIN_HINT = re.compile(r"\sdot\s|(?:\sat\s+|\s@\s*|@\s+)[A-Za-z0-9-]+\.[A-Za-z0-9-]", re.I)
 
 
 def _luhn(d: str) -> bool:
@@ -156,8 +163,6 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELL.finditer(text):
         words = list(_SPELL_ONE.finditer(m.group()))
-        if sum(w.group().lower() != "plus" for w in words) < 4:
-            continue
         for w in words:
             low = w.group().lower()
             a, b = m.start() + w.start(), m.start() + w.end()
@@ -166,46 +171,44 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
                     b += 1
                 edits.append((a, b, "+"))
             else:
-                edits.append((a, b, SPELLED[low]))
+                # letters that fold to i and s match without regard to case
+                edits.append((a, b, SPELLED[low.replace("i\u0307", "i").replace("ı", "i").replace("ſ", "s")]))
     return edits
 
 
-_HINT_WORDS = frozenset(w + sign for w in SPELLED if w != "un" for sign in ("", ",", "."))
-
-
-def _hints(text: str) -> tuple[bool, bool, bool]:
-    """Whether there may be bracketed signs, plain ones, and spelled digits: cheap tests before exact ones."""
-    low = text.lower()
-    bracket = _BRACKET_HINT.search(text) is not None
-    plain = "dot" in low and _PLAIN_HINT.search(text) is not None
-    spelled = not _HINT_WORDS.isdisjoint(low.replace("-", " ").split()) and _SPELL_HINT.search(text) is not None
-    return bracket, plain, spelled
+def _signs(text: str) -> list[tuple[int, int, str]]:
+    """Signs in words or between spaces; of disguises that overlap the first and longest counts."""
+    edits, end = [], 0
+    for m in sorted([*_PLAIN.finditer(text), *_BOTH.finditer(text)], key=lambda m: (m.start(), -m.end())):
+        if m.start() < end:
+            continue
+        end = m.end()
+        marks = [(m.start(1), m.end(1), "@")] + [(m.start() + d.start(), m.start() + d.end(), ".") for d in _PLAIN_DOT.finditer(m.group())]
+        edits += sorted(marks)
+    return edits
 
 
 def rewrite(text: str) -> Rewritten | None:
     """The text with disguises undone, or None if it has none."""
     hidden = not text.isascii() and _ALIKE.search(text) is not None
-    bracket, plain, spelled = _hints(text)
-    if not (hidden or bracket or spelled or plain):
+    # tests that hold wherever the exact patterns match, made again on what the step before left
+    hints = (_BRACKET_HINT, _PLAIN_HINT, _SPELL_HINT)
+    if not hidden and not any(h.search(text) for h in hints):
         return None
     r = Rewritten(text)
     if hidden:
         r.apply([(m.start(), m.end(), LOOK_ALIKES.get(m.group(), "")) for m in _ALIKE.finditer(text)])
-        bracket, plain, spelled = _hints(r.text)
-    if bracket:
+    if _BRACKET_HINT.search(r.text):
         r.apply([(m.start(), m.end(), "@") for m in _AT.finditer(r.text)])
         r.apply([(m.start(), m.end(), ".") for m in _DOT.finditer(r.text)])
-    if plain:
-        edits = []
-        for m in _PLAIN.finditer(r.text):
-            marks = [(m.start(1), m.end(1), "@")] + [(m.start() + d.start(), m.start() + d.end(), ".") for d in _PLAIN_DOT.finditer(m.group())]
-            edits += sorted(marks)
+    if _PLAIN_HINT.search(r.text):
+        r.apply(_signs(r.text))
+    if _SPELL_HINT.search(r.text) and (edits := _spelled(r.text)):
         r.apply(edits)
-    if spelled:
-        r.apply(_spelled(r.text))
-        # single digits that were words stand apart by what parted the words: close the gaps
+        # digits that were words stand apart by what parted the words: close the gaps
         r.apply([(m.start(), m.end(), "") for m in re.finditer(r"(?<=[0-9+])[\x20\t\n,]+(?=[0-9])", r.text)
-                 if r.new[m.start() - 1] and r.new[m.end()]])
+                 if r.new[m.start() - 1] or r.new[m.end()]])
+    r.apply([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)])
     return r
 
 

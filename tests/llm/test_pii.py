@@ -43,6 +43,20 @@ def test_disguises():
     assert found("") == []
 
 
+def test_disguises_by_themselves():
+    assert found("write jane at example.com today") == [("email", "jane at example.com")]
+    assert found("write jane @ example.com today") == [("email", "jane @ example.com")]
+    assert found("write jane at example [dot] com today") == [("email", "jane at example [dot] com")]
+    assert found("call +49 one 5 two 3 four 6 7 eight 9 now") == [("phone", "+49 one 5 two 3 four 6 7 eight 9")]
+    assert found("call +49 151 two 345 67 8 now") == [("phone", "+49 151 two 345 67 8")]
+    assert found("host 192 dot 168 dot 0 dot 1 is up") == [("ip", "192 dot 168 dot 0 dot 1")]
+    assert found("mail jane at example dot museum or") == [("email", "jane at example dot museum")]
+    assert found("mail jane @ mail dot co dot example or") == [("email", "jane @ mail dot co dot example")]
+    assert found("mail jane at mail dot example.museum or") == [("email", "jane at mail dot example.museum")]
+    assert found("meet at noon. One dot, two dots; 3 dot 4") == []
+    assert found("call plus four nine fİve one ſix one two three four") == [("phone", "plus four nine fİve one ſix one two three four")]
+
+
 def test_columns_and_masking(spark):
     rows = [(1, "a@b.co and +49 (0) 151-2345 6789", 40, "s"), (None, None, None, None), (2, "", 0, "s"), (2, "", 0, "s"), (3, "x (at) y (dot) org", 1, "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
