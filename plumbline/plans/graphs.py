@@ -62,7 +62,7 @@ def _(spark, d):
 
 @query("shape_features")
 def _(spark, d):
-    p = small(spark, d)
+    p = points(spark, d)
     return K.shape_features(K.knn(p, 8, 8.0), p)
 
 
@@ -85,7 +85,7 @@ def _(spark, d):
 
 @query("ranked_components")
 def _(spark, d):
-    p = small(spark, d)
+    p = points(spark, d)
     e = K.local_edges(p, 10, 1.2).select("src", "dst")
     return G.ranked_components(connected_components(e.unionByName(p.select(F.col("pid").alias("src"), F.col("pid").alias("dst")))))
 
@@ -99,7 +99,7 @@ def _(spark, d):
 
 @query("minimum_spanning_tree")
 def _(spark, d):
-    return G.spanning_forest(K.local_edges(small(spark, d))).select("src", "dst", F.round(F.col("len").cast("double"), 4).alias("len"))
+    return G.spanning_forest(K.local_edges(points(spark, d))).select("src", "dst", F.round(F.col("len").cast("double"), 4).alias("len"))
 
 
 @query("mst_cut_components", _EDGES.replace("625e-2", "1e0") + ", u as (select src as a, dst as b from e union select dst, src from e)" + _WALK + " select pid as node, component from f")
@@ -295,7 +295,7 @@ def _(spark, d):
 
 @query("decide_labels")
 def _(spark, d):
-    return L.decide(claims(spark, d).where(W.inside_half_open((40, 40, 56, 56))).select("pid", "cell", "x", "y", "z", "claims"), 60, 60, quorum=8)
+    return L.decide(claims(spark, d).select("pid", "cell", "x", "y", "z", "claims"), 60, 60, quorum=8)
 
 
 _MAPF = "pid % 3 = 0", "pid % 5 = 0", "pid % 7 = 0", "pid % 4 = 0", "pid % 11 = 0"

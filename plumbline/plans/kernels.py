@@ -62,13 +62,12 @@ def _(spark, d):
 
 @query("ground_filter")
 def _(spark, d):
-    p = points(spark, d).where(W.inside_half_open((40, 40, 56, 56)))
-    return R.ground_filter(p, 1.0, 0.5, 16.0, 4.0, rounds=80)
+    return R.ground_filter(points(spark, d), 1.0, 0.5, 16.0, 4.0, rounds=80)
 
 
 @query("split_tops")
 def _(spark, d):
-    p = points(spark, d).where(W.inside_half_open((40, 40, 64, 64)))
+    p = points(spark, d)
     i = (F.floor((F.col("x") - 40) / 12) * 10 + F.floor((F.col("y") - 40) / 12)).cast("long")
     return R.split_tops(p.select("pid", i.alias("inst"), "x", "y", F.col("z").alias("h")), 1.0, 6.0, 2.0)
 
