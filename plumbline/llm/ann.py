@@ -6,12 +6,14 @@ the direction of its vector changes the inner products with the queries near it,
 so the parallel part of the error weighs ETA times the rest, both in learning the code words and in choosing a
 vector's codes (coordinate descent over the subspaces).
 
-Codes are scanned with per-query tables of the 16 inner products of each subspace; the best REFINE vectors of each
-query are ranked again by exact distances in double precision.
-
-Plan: equal vectors become one (with as many ids as an answer can need) -> codes, packed into blocks of rows -> every
-block of codes meets every block of queries (the stated query set: ids divisible by EVERY) -> the best of each block
--> the best of each query -> exact distances. The code book is learned on a bounded sample (SAMPLE rows with the
+Codes are scanned with per-query tables of the 16 inner products of each subspace. The best REFINE vectors of each
+query in a block are ranked again by exact distances in double precision, and so is every other vector of the block
+whose distance may still be as small as the last one needed: a vector is no nearer than its code's point less the
+length of its coding error. So no answer is lost in groups of near copies, however large.
+
+Plan: equal vectors become one (with as many ids as an answer can need) -> codes, packed with their vectors into
+blocks of rows -> every block meets every block of queries (the stated query set: ids divisible by EVERY) -> the best
+of each block by exact distance -> the best of each query. The code book is learned on a bounded sample (SAMPLE rows with the
 least hashes of their ids) and is broadcast (a few kB); every row is coded and scanned.
 
 Defined results: vectors that are null, empty, zero, of another length than the first in hash order, or hold null or
@@ -40,7 +42,7 @@ REFINE = 200
 #: Weight of the parallel part of the error over the rest.
 ETA = 4.0
 WORDS = 16
-CODE_BLOCK = 32_768
+CODE_BLOCK = 8_192
 QUERY_BLOCK = 256
 
 
@@ -133,6 +135,43 @@ def scan(packed: np.ndarray, half: np.ndarray, queries: np.ndarray, book: np.nda
     return out
 
 
+def nearest_in_block(x: np.ndarray, packed: np.ndarray, own: np.ndarray, queries: np.ndarray, book: np.ndarray, refine: int, take: int):
+    """For each query the rows of its ``take`` nearest vectors (at least) and their exact distances.
+
+    ``own`` (queries x rows) are pairs that are no answer; vectors have an even number of components.
+    """
+    m = len(book)
+    code = np.stack((packed & 15, packed >> 4), 2).reshape(len(packed), -1)[:, :m]
+    point = book[np.arange(m), code].reshape(len(x), -1)
+    error = np.linalg.norm(x - point, axis=1)
+    half, size = (x * x).sum(1) / 2, (point * point).sum(1)
+    value = scan(packed, half, queries, book)
+    for k, q in enumerate(queries):
+        able = np.flatnonzero(~own[k])
+        top = min(max(refine, take), len(able))
+        if not top:
+            continue
+        first = able[np.argpartition(-value[k, able], top - 1)[:top]]
+        done = np.zeros(len(x), bool)
+        done[first] = True
+        at, far = first, _distances(x[first], q)
+        if len(able) > top:
+            last = np.partition(far, take - 1)[take - 1]
+            # 32-bit sums of the scan: rounding stays far below this share of the lengths
+            slack = 1e-5 * (size + half + q @ q)
+            low = np.sqrt(np.maximum(size + q @ q - 2 * (value[k] + half) - slack, 0)) - error
+            more = able[(low[able] <= last) & ~done[able]]
+            at, far = np.concatenate((at, more)), np.concatenate((far, _distances(x[more], q)))
+        yield k, at, far
+
+
+def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x))
+    for d in range(len(q)):  # one order of summing, so that ties stay ties
+        total += (x[:, d] - q[d]) ** 2
+    return np.sqrt(total)
+
+
 def search(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = EVERY, nearest: int = NEAREST, refine: int = REFINE
 ) -> DataFrame:
@@ -156,8 +195,8 @@ def search(
     # equal vectors: one place in the scan, with the ids that can be among the answers (one may be the query's own)
     turn = Window.partitionBy("hash", "x").orderBy("id")
     few = rows.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= nearest + 1)
-    sets = materialise(few.groupBy("hash", "x").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("place", F.element_at("ids", 1)), "vectors")
-    queries = materialise(rows.where(F.col("id") % every == 0).select("id", "x"), "queries")
+    sets = materialise(few.groupBy("hash", "x").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("place", F.element_at("ids", 1)).withColumn("number", F.monotonically_increasing_id()), "vectors")
+    queries = materialise(rows.where(F.col("id") % every == 0).select("id", "x").dropDuplicates(), "queries")
     n, nq = sets.count(), queries.count()
     code_blocks, query_blocks = max(1, -(-n // CODE_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
 
@@ -168,8 +207,8 @@ def search(
                 v = _matrix(part.column(1))
                 code = pack(assign(_pad(v), book))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array((v * v).sum(1) / 2), pa.array([c.tobytes() for c in code], pa.binary())],
-                    ["place", "block", "half", "code"],
+                    [*part.columns[:1], *part.columns[2:], pa.array([r.tobytes() for r in v], pa.binary()), pa.array([c.tobytes() for c in code], pa.binary())],
+                    ["place", "block", "number", "sole", "vector", "code"],
                 )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +217,7 @@ def search(
         size = 0
         for batch in batches:
             for k, b in enumerate(batch.column(1).to_pylist()):
-                kept.setdefault(b, []).append((batch.column(0)[k].as_py(), batch.column(2)[k].as_py(), batch.column(3)[k].as_py()))
+                kept.setdefault(b, []).append(tuple(batch.column(c)[k].as_py() for c in (0, 2, 3, 4, 5)))
                 size += 1
             if size >= CODE_BLOCK:
                 yield _pieces(kept)
@@ -186,36 +225,42 @@ def search(
         if kept:
             yield _pieces(kept)
 
-    coded = sets.select("place", "x", F.pmod(F.xxhash64("place"), F.lit(code_blocks)).alias("block")).mapInArrow(
-        encode, "place long, block long, half double, code binary"
+    # a set with one id only is no answer to the query of that id
+    sole = (F.size(F.array_distinct("ids")) == 1).alias("sole")
+    coded = sets.select("place", "x", F.pmod(F.xxhash64("hash", "place"), F.lit(code_blocks)).alias("block"), "number", sole).mapInArrow(
+        encode, "place long, block long, number long, sole boolean, vector binary, code binary"
+    )
+    pieces = coded.repartition(code_blocks, "block").mapInArrow(
+        packed, "block long, places binary, numbers binary, soles binary, vectors binary, codes binary"
     )
-    pieces = coded.repartition(code_blocks, "block").mapInArrow(packed, "block long, places binary, halves binary, codes binary")
     asked = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).groupBy("qb").agg(F.collect_list(F.struct("id", "x")).alias("qs"))
     pairs = pieces.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))).join(asked, "qb")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                place = np.frombuffer(r["places"], np.int64)
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                place, number = np.frombuffer(r["places"], np.int64), np.frombuffer(r["numbers"], np.int64)
                 code = np.frombuffer(r["codes"], np.uint8).reshape(len(place), -1)
-                half = np.frombuffer(r["halves"], np.float64)
+                x = _pad(np.frombuffer(r["vectors"], np.float64).reshape(len(place), -1))
                 ids = np.array([q["id"] for q in r["qs"]], np.int64)
                 q = _pad(np.array([q["x"] for q in r["qs"]]))
-                value = scan(code, half, q, book)
-                top = min(refine, len(place))
-                at = np.argpartition(-value, top - 1, axis=1)[:, :top]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, top)), pa.array(place[at].ravel()), pa.array(np.take_along_axis(value, at, 1).ravel().astype(float))],
-                    ["query_id", "place", "value"],
-                )
-
-    found = pairs.select("places", "codes", "halves", "qs").mapInArrow(meet, "query_id long, place long, value double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("value"), "place")
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= refine).select("query_id", "place")
+                own = (place[None] == ids[:, None]) & np.frombuffer(r["soles"], bool)[None]
+                out = []
+                for i, at, far in nearest_in_block(x, code, own, q, book, refine, nearest + 1):
+                    best = np.lexsort((number[at], place[at], far))[: nearest + 1]
+                    out.append((np.full(len(best), ids[i]), number[at[best]], place[at[best]], far[best]))
+                if out:
+                    columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "number", "place", "score"])
+
+    found = pairs.select("places", "numbers", "soles", "vectors", "codes", "qs").mapInArrow(
+        meet, "query_id long, number long, place long, score double"
+    )
+    best = Window.partitionBy("query_id").orderBy("score", "place", "number")
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 2 * (nearest + 1)).select("query_id", "number", "score")
     near = (
-        found.join(sets.select("place", "x", "ids"), "place")
-        .join(queries.select(F.col("id").alias("query_id"), F.col("x").alias("q")).dropDuplicates(["query_id", "q"]), "query_id")
-        .withColumn("score", F.sqrt(F.aggregate(F.zip_with("x", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)))
+        found.join(sets.select("number", "ids"), "number")
         .select("query_id", F.explode("ids").alias("vec_id"), "score")
         .where("vec_id <> query_id")
     )
@@ -225,12 +270,9 @@ def search(
 
 def _pieces(kept: dict[int, list]) -> pa.RecordBatch:
     rows = sorted(kept.items())
+    flat = [[np.array([v[c] for v in vs], t).tobytes() for _, vs in rows] for c, t in enumerate((np.int64, np.int64, bool))]
+    joint = [[b"".join(v[c] for v in vs) for _, vs in rows] for c in (3, 4)]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array([b for b, _ in rows], pa.int64()),
-            pa.array([np.array([v[0] for v in vs], np.int64).tobytes() for _, vs in rows], pa.binary()),
-            pa.array([np.array([v[1] for v in vs], np.float64).tobytes() for _, vs in rows], pa.binary()),
-            pa.array([b"".join(v[2] for v in vs) for _, vs in rows], pa.binary()),
-        ],
-        ["block", "places", "halves", "codes"],
+        [pa.array([b for b, _ in rows], pa.int64()), *(pa.array(c, pa.binary()) for c in flat + joint)],
+        ["block", "places", "numbers", "soles", "vectors", "codes"],
     )

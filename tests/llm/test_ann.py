@@ -46,3 +46,17 @@ def test_copies_ties_and_bad_rows(spark):
     assert ann.search(df.where("false")).count() == 0
     few = spark.createDataFrame([(100, [1.0, 2.0]), (7, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.search(few).collect()] == [(100, 1, 7)]
+
+
+def test_recall_among_near_copies(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(6000, 16))
+    x[::3] = x[0] + r.normal(size=(2000, 16)) * 0.03
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(len(x))
+    want = brute(ids, x)
+    got = ann.search(spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    hits = [any(i == g.vec_id for _, i in want[g.query_id]) for g in got]
+    dense = [h for h, g in zip(hits, got, strict=True) if g.query_id % 3 == 0]
+    print("recall", np.mean(hits), "in the group", np.mean(dense))
+    assert len(got) == 600 and all(hits)
