@@ -5,9 +5,10 @@ language and by topic meet the target marginals. A cell's raked weight over its
 which its texts are kept: the probabilities keep the raked proportions, are cut at 1, and are scaled (by bisection)
 so that the expected number of kept tokens is the budget. Each text is then kept or not by a hash of its id.
 
-Size bounds: a dimension has at most ``NAMED`` categories of its own, the largest by tokens; all others are raked
-together as one. So the cell table on the driver has at most (NAMED + 1)^2 * (TOPICS + 1) rows, whatever the input,
-and every text belongs to a cell. Nothing else leaves the executors.
+Every category is raked by itself. Where targets are given, categories that they do not name share the target of
+``OTHER``, 0 if there is none. The cell table on the driver, which every task receives, has a row for each source,
+language and topic that occur together: it grows with the categories, not with the rows. Nothing else leaves the
+executors.
 
 A text's topic, where no topic column is given, is the group (by hash) of its most frequent word of five bytes or
 more, ties going to the least hash; texts without such words have topic -1.
@@ -30,7 +31,6 @@ from pyspark.sql.types import StructType
 from plumbline.llm._words import U, lower, mix, slices, word_hashes, words
 from plumbline.session import materialise, ship
 
-NAMED = 200
 TOPICS = 8
 #: Target shares, where none are given: the corpus' own shares to this power, so that large categories shrink.
 TEMPER = 0.7
@@ -113,64 +113,46 @@ def _facts(docs: DataFrame, topic_col: str | None) -> DataFrame:
 
 def fit(
     docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, topic_col: str | None = None
-) -> tuple[dict, dict[str, set], DataFrame]:
-    """(source, language, topic) -> (weight per token, probability); the named categories; facts of all rows."""
+) -> tuple[dict, DataFrame]:
+    """(source, language, topic) -> (weight per token, probability); facts of all rows."""
     ship(docs.sparkSession)
     facts = materialise(_facts(docs, topic_col), "facts")
-    sums = facts.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("t"))
-    sums = materialise(sums, "sums")
-    named: dict[str, list] = {}
-    shares: list[np.ndarray] = []
-    for d in DIMENSIONS:
-        if targets and d in targets:
-            named[d] = sorted(targets[d])[:NAMED]
-        else:
-            top = sums.groupBy(d).agg(F.sum("t").alias("t")).orderBy(F.desc("t"), d).limit(NAMED).collect()
-            named[d] = [r[d] for r in top]
-    pooled = sums
-    for d in DIMENSIONS:
-        real = [x for x in named[d] if x is not None]
-        keep = F.col(d).isin(real) if real else F.lit(False)
-        if None in named[d]:
-            keep = F.coalesce(keep, F.lit(True))
-        else:
-            keep = F.coalesce(keep, F.lit(False))
-        pooled = pooled.withColumn(d, F.when(keep, F.col(d)).otherwise(F.lit(OTHER)))
-    rows = pooled.groupBy(*DIMENSIONS).agg(F.sum("t").alias("t")).orderBy(*DIMENSIONS).collect()
+    sums = facts.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("t")).toArrow()
+    rows = sorted(zip(*(sums[c].to_pylist() for c in (*DIMENSIONS, "t")), strict=True), key=lambda r: [(x is not None, x or "") for x in r[:3]])
     if not rows:
-        return {}, {d: set(v) for d, v in named.items()}, facts
-    t = np.array([r["t"] for r in rows], float)
+        return {}, facts
+    t = np.array([r[3] for r in rows], float)
     codes = np.zeros((len(rows), 3), np.int64)
+    shares: list[np.ndarray] = []
+    barred = np.zeros(len(rows), bool)
     for k, d in enumerate(DIMENSIONS):
-        place = {x: i for i, x in enumerate([*named[d], OTHER])}
-        codes[:, k] = [place[r[d]] for r in rows]
-        have = np.bincount(codes[:, k], t, len(place))
-        share = (have / max(have.sum(), 1)) ** TEMPER * (have > 0)
-        if targets and d in targets:
-            share = np.array([targets[d].get(x, 0.0) for x in [*named[d], OTHER]], float)
+        given = targets.get(d) if targets else None
+        names = [x for x in (given if given is not None else dict.fromkeys(r[k] for r in rows)) if x != OTHER or given is None]
+        place = {x: i for i, x in enumerate(names)}
+        codes[:, k] = [place.get(r[k], len(names)) for r in rows]
+        if given is not None:
+            share = np.array([given[x] for x in names] + [given.get(OTHER, 0.0)], float)
+            barred |= share[codes[:, k]] == 0
+        else:
+            have = np.bincount(codes[:, k], t, len(names) + 1)
+            share = (have / max(have.sum(), 1)) ** TEMPER * (have > 0)
         shares.append(share / max(share.sum(), 1e-300))
     w = rake(t, codes, shares)
-    p = probabilities(t, w, budget)
-    cells = {tuple(r[d] for d in DIMENSIONS): (float(w[i] / max(t[i], 1)), float(p[i]) if t[i] else 1.0) for i, r in enumerate(rows)}
-    return cells, {d: set(v) for d, v in named.items()}, facts
+    p = np.where(t > 0, probabilities(t, w, budget), np.where(barred, 0.0, 1.0))
+    return dict(zip((r[:3] for r in rows), zip((w / np.maximum(t, 1)).tolist(), p.tolist(), strict=True), strict=True)), facts
 
 
-def _lookup(cells: dict, named: dict[str, set], source: pa.Array, lang: pa.Array, topic: list) -> np.ndarray:
-    out = np.zeros((len(source), 2))
-    parts = zip(source.to_pylist(), lang.to_pylist(), topic, strict=True)
-    s, g, c = (named[d] for d in DIMENSIONS)
-    for k, (a, b, t) in enumerate(parts):
-        out[k] = cells[a if a in s else OTHER, b if b in g else OTHER, t if t in c else OTHER]
-    return out
+def _lookup(cells: dict, source: pa.Array, lang: pa.Array, topic: list) -> np.ndarray:
+    return np.array([cells[c] for c in zip(source.to_pylist(), lang.to_pylist(), topic, strict=True)], float).reshape(-1, 2)
 
 
 def weigh(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, topic_col: str | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, kept) of every row."""
-    cells, named, facts = fit(docs, targets, budget, topic_col)
+    cells, facts = fit(docs, targets, budget, topic_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _lookup(cells, named, batch.column(1), batch.column(2), batch.column(3).to_pylist())
+            x = _lookup(cells, batch.column(1), batch.column(2), batch.column(3).to_pylist())
             u = _draw(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(u < x[:, 1])],
@@ -184,7 +166,7 @@ def weigh(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET,
 
 def sample(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, topic_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they are; no shuffle of texts."""
-    cells, named, _ = fit(docs, targets, budget, topic_col)
+    cells, _ = fit(docs, targets, budget, topic_col)
     at = {c: docs.columns.index(c) for c in ("doc_id", "source", "lang", "text")}
     topic_at = docs.columns.index(topic_col) if topic_col else None
 
@@ -195,7 +177,7 @@ def sample(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET,
             else:
                 topic = batch.column(topic_at).cast(pa.string()).to_pylist()
             source, lang = (batch.column(at[c]).cast(pa.string()) for c in ("source", "lang"))
-            p = _lookup(cells, named, source, lang, topic)[:, 1]
+            p = _lookup(cells, source, lang, topic)[:, 1]
             ids = batch.column(at["doc_id"]).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
             mask = pa.array(_draw(ids) < p)
             yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], batch.schema.names)

@@ -63,6 +63,24 @@ def test_mixing_keeps_the_budget_and_agrees_in_both_forms(spark):
     assert two[~two["lang"].isin(["en", "fr"])]["kept"].sum() == 0
 
 
+def test_mixing_keeps_every_category(spark):
+    rows = [(k * 10 + j, "word " * (5 + k % 17), f"s{k:03d}", "en") for k in range(300) for j in range(1 + k % 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = mixing.weigh(df).toPandas()
+    have = out.groupby("source")["n_tokens"].sum().astype(float)
+    got = (out["weight"] * out["n_tokens"]).groupby(out["source"]).sum()
+    want = (have / have.sum()) ** mixing.TEMPER
+    assert len(got) == 300 and np.allclose(got / got.sum(), want / want.sum(), atol=1e-8)
+    to = {f"s{k:03d}": 1.0 + k for k in range(300)}
+    out = mixing.weigh(df, {"source": to}, budget=0.01).toPandas()
+    got = (out["weight"] * out["n_tokens"]).groupby(out["source"]).sum()
+    assert np.allclose((got / got.sum()).to_numpy(), np.arange(1, 301) / sum(range(1, 301)), atol=1e-8)
+    assert (out["probability"] > 0).all()
+    empty = spark.createDataFrame([(1, "word", "a", "en"), (2, "", "b", "en"), (3, "", "a", None)], "doc_id long, text string, source string, lang string")
+    p = {r.doc_id: r.probability for r in mixing.weigh(empty, {"source": {"a": 1.0}}).collect()}
+    assert p[1] > 0 and p[2] == 0 and p[3] == 1
+
+
 def test_pipeline_by_its_stages(spark):
     import corpus_pipeline as cp
     from plumbline.llm import pii
