@@ -1,12 +1,14 @@
 """Derivatives of web archive responses: linked metadata records and plain-text conversion records.
 
 From each response record (target URI, date, HTTP head and body) two records are derived. The metadata record carries
-the response's HTTP status and headers, title, links and digests as JSON; the conversion record carries the page's
-plain text. Both name the response they come from in WARC-Refers-To and keep its target URI and date; each has its own
-record id and its block and payload digests (SHA-1 in base 32, as archives write them).
+the response's HTTP status and headers (pairs, in order, repeats kept), the headers of its own record, title, links
+and digests as JSON; the conversion record carries the page's plain text. Chunked, gzip and deflate bodies are decoded
+first; a body in another encoding gives no text, and the metadata name that encoding. Both name the response they come from in WARC-Refers-To and keep its target URI and date; each has its own
+record id and its block digest (SHA-1 in base 32, as archives write them), and the payload digest, address and payload
+type of the response's record where it gives them; else the payload digest is of the body without its chunks.
 
 Records can be read from and written to archive files: ``read_warc`` parses plain or gzip files that any Spark reader
-reaches, ``write_warc`` lays the records of each partition out as bytes (a record a gzip member).
+reaches, ``responses_from`` makes its rows the input of ``build``, ``write_warc`` lays the records of each partition out as bytes (a record a gzip member).
 
 Defined results: a null body is an empty one; a null URL gives an empty target URI; a null date stays out of the
 header; rows that repeat an id give the same records again; other columns are ignored; an empty table gives an empty
@@ -65,12 +67,75 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return rows[0], pairs, body
 
 
+def unchunk(body: bytes) -> bytes:
+    """The body without chunk marks, as far as it goes; as it is, if it does not begin with a chunk."""
+    out, at = [], 0
+    while (end := body.find(b"\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0].strip() or b"-1", 16)
+        except ValueError:
+            size = -1
+        if size < 0:
+            return b"".join(out) if out else body
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 1 : end + 1 + size])
+        at = end + 1 + size
+        at += 2 if body[at : at + 2] == b"\r\n" else body[at : at + 1] == b"\n"
+    return b"".join(out) if out else body
+
+
+def inflate(body: bytes, how: str) -> bytes:
+    """A gzip or deflate body unpacked, as far as it goes; as it is, if archives stored it unpacked."""
+    for window in (31,) if how.endswith("gzip") else (15, -15):
+        out, rest = [], body
+        try:
+            while rest:
+                z = zlib.decompressobj(window)
+                out.append(z.decompress(rest))
+                out.append(z.flush())
+                rest = z.unused_data if window == 31 and z.unused_data[:2] == b"\x1f\x8b" else b""
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+    return body
+
+
+def decoded(headers: list[tuple[str, str]], body: bytes) -> tuple[bytes, bytes | None, str]:
+    """The body without its chunks, its content (None if it cannot be decoded), and the encoding that is left."""
+
+    def steps(name: str) -> list[str]:
+        return [x.strip().lower() for k, v in headers if k.lower() == name for x in v.split(",") if x.strip()]
+
+    def undo(data: bytes, how: str) -> bytes | None:
+        if how == "chunked":
+            return unchunk(data)
+        if how in ("gzip", "x-gzip", "deflate"):
+            return inflate(data, how)
+        return data if how in ("identity", "none") else None
+
+    left = ""
+    for name in ("transfer-encoding", "content-encoding"):
+        content = body
+        for how in reversed(steps(name)):
+            if (data := undo(content, how)) is None:
+                left = how
+                break
+            content = data
+        if name == "transfer-encoding":
+            body = content
+        if left:
+            return body, None, left
+    return body, content, ""
+
+
 def plain_text(page: str) -> str:
     """All text of a page, a line a block, without scripts and styles."""
     return "\n".join(t for _, t in lines(page))
 
 
-def metadata(uri: str, status: str, headers: list[tuple[str, str]], page: str, payload: str) -> dict:
+def metadata(uri: str, status: str, headers: list[tuple[str, str]], page: str, payload: str, source: list[tuple[str, str]], left: str) -> dict:
     title = _TITLE.search(page)
     links = []
     for m in _LINK.finditer(page):
@@ -82,7 +147,9 @@ def metadata(uri: str, status: str, headers: list[tuple[str, str]], page: str, p
         links.append({"path": m[1].lower(), "url": to})
     return {
         "status": status,
-        "headers": dict(headers),
+        "headers": [list(h) for h in headers],
+        "source-headers": [list(h) for h in source],
+        "encoding-left": left,
         "payload-digest": payload,
         "title": " ".join(html.unescape(title[1]).split()) if title else "",
         "metas": {k.lower(): html.unescape(v) for k, v in _META.findall(page)},
@@ -90,28 +157,37 @@ def metadata(uri: str, status: str, headers: list[tuple[str, str]], page: str, p
     }
 
 
-def derive(uri: str | None, date: str | None, block: bytes | None, response_id: str | None = None) -> list[dict]:
-    """The two derived records of one response block."""
+#: Headers of the response's record that both derived records carry.
+CARRIED = ("WARC-Payload-Digest", "WARC-IP-Address", "WARC-Identified-Payload-Type")
+
+
+def derive(
+    uri: str | None, date: str | None, block: bytes | None, response_id: str | None = None, source_headers: list[tuple[str, str]] | None = None
+) -> list[dict]:
+    """The two derived records of one response block; ``source_headers`` are those of its record."""
     uri, block = uri or "", block or b""
     status, headers, body = split_http(block)
-    payload = digest(body)
+    body, content, left = decoded(headers, body)
+    given = {k.lower(): v for k, v in source_headers or ()}
+    carried = {k: given[k.lower()] for k in CARRIED if k.lower() in given}
+    payload = carried.get("WARC-Payload-Digest") or digest(body)
     source = response_id or record_id("response", uri, date, digest(block))
     charset = next((m[1] for k, v in headers if k.lower() == "content-type" and (m := re.search(r"charset=\"?([\w-]+)", v))), "utf-8")
     try:
-        page = body.decode(charset, "replace")
+        page = (content or b"").decode(charset, "replace")
     except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = (content or b"").decode("utf-8", "replace")
     out = []
     for kind in DERIVED:
         if kind == "metadata":
-            data = json.dumps(metadata(uri, status, headers, page, payload), ensure_ascii=False, sort_keys=True).encode()
+            data = json.dumps(metadata(uri, status, headers, page, payload, source_headers or [], left), ensure_ascii=False, sort_keys=True).encode()
             mime = "application/json"
         else:
             data, mime = plain_text(page).encode(), "text/plain"
         mark = digest(data)
         head = {
             "WARC-Type": kind, "WARC-Record-ID": record_id(kind, uri, date, source + mark), "WARC-Target-URI": uri, "WARC-Date": date,
-            "WARC-Refers-To": source, "WARC-Block-Digest": mark, "WARC-Payload-Digest": payload, "Content-Type": mime, "Content-Length": str(len(data)),
+            "WARC-Refers-To": source, "WARC-Block-Digest": mark, **carried, "WARC-Payload-Digest": payload, "Content-Type": mime, "Content-Length": str(len(data)),
         }
         out.append({"kind": kind, "headers": {k: v for k, v in head.items() if v is not None}, "block": data, "refers_to": source})
     return out
@@ -124,7 +200,12 @@ def to_bytes(headers: dict[str, str], block: bytes) -> bytes:
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record of a file, plain or in gzip members."""
+    """Headers (of repeated ones the last) and block of every record of a file, plain or in gzip members."""
+    return ((dict(pairs), block) for pairs, block in parse_pairs(data))
+
+
+def parse_pairs(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Header pairs and block of every record of a file, plain or in gzip members."""
     if data[:2] == b"\x1f\x8b":
         parts = []
         while data:
@@ -138,8 +219,8 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if end < 0:
             return
         rows = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {k.strip(): v.strip() for k, _, v in (r.partition(":") for r in rows)}
-        size = int(head.get("Content-Length", 0))
+        head = [(k.strip(), v.strip()) for k, _, v in (r.partition(":") for r in rows)]
+        size = next((int(v) for k, v in head if k.lower() == "content-length"), 0)
         yield head, data[end + 4 : end + 4 + size]
         at = end + 4 + size
 
@@ -148,16 +229,17 @@ SCHEMA = "page_id long, kind string, record_id string, refers_to string, target_
 
 
 def build(responses: DataFrame) -> DataFrame:
-    """Derived records (two a row) of ``responses`` (page_id, target_uri, date, block[, record_id])."""
+    """Derived records (two a row) of ``responses`` (page_id, target_uri, date, block[, record_id, source_headers])."""
     ship(responses.sparkSession)
-    cols = ["page_id", "target_uri", "date", "block"] + [c for c in ("record_id",) if c in responses.columns]
+    cols = ["page_id", "target_uri", "date", "block"] + [c for c in ("record_id", "source_headers") if c in responses.columns]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 rows = []
                 for r in batch.slice(k, 500).to_pylist():
-                    for d in derive(r["target_uri"], r["date"], r["block"], r.get("record_id")):
+                    source = [(h["name"], h["value"]) for h in r.get("source_headers") or ()]
+                    for d in derive(r["target_uri"], r["date"], r["block"], r.get("record_id"), source):
                         h = d["headers"]
                         rows.append((r["page_id"], d["kind"], h["WARC-Record-ID"], d["refers_to"], h["WARC-Target-URI"], r["date"], list(h.items()), d["block"]))
                 types = [pa.int64(), *[pa.string()] * 5, pa.map_(pa.string(), pa.string()), pa.binary()]
@@ -180,20 +262,33 @@ def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, headers, block) of every record of the archive files at ``path``; a file is one task's work."""
+    """(path, headers, pairs, block) of every record of the archive files at ``path``; a file is one task's work."""
     ship(spark)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for head, block in parse(data):
+                for head, block in parse_pairs(data):
+                    pairs = pa.array([[{"name": k, "value": v} for k, v in head]], pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([p]), pa.array([list(head.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())],
-                        ["path", "headers", "block"],
+                        [pa.array([p]), pa.array([list(dict(head).items())], pa.map_(pa.string(), pa.string())), pairs, pa.array([block], pa.binary())],
+                        ["path", "headers", "pairs", "block"],
                     )
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(kernel, "path string, headers map<string,string>, block binary")
+    return files.mapInArrow(kernel, "path string, headers map<string,string>, pairs array<struct<name:string,value:string>>, block binary")
+
+
+def responses_from(records: DataFrame) -> DataFrame:
+    """The response records among the rows of :func:`read_warc` as input of :func:`build`; page_id is a hash of the record's id."""
+
+    def first(name: str):
+        return F.filter("pairs", lambda h: F.lower(h["name"]) == name.lower())[0]["value"]
+
+    rows = records.select("block", F.col("pairs").alias("source_headers"), *(first(n).alias(a) for n, a in (
+        ("WARC-Type", "type"), ("WARC-Target-URI", "uri"), ("WARC-Date", "date"), ("WARC-Record-ID", "record_id"))))
+    uri = F.regexp_replace("uri", "^<(.*)>$", "$1").alias("target_uri")
+    return rows.where("type = 'response'").select(F.xxhash64("record_id").alias("page_id"), uri, "date", "block", "record_id", "source_headers")
 
 
 def write_warc(records: DataFrame) -> DataFrame:

@@ -66,3 +66,36 @@ def test_derived_records(spark):
 def test_read_warc(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(warc.to_bytes({"WARC-Type": "response", "Content-Length": "3"}, b"abc"))
     assert [bytes(r.block) for r in warc.read_warc(spark, str(tmp_path)).collect()] == [b"abc"]
+
+
+def test_from_archive_to_derived_records(spark, tmp_path):
+    import gzip
+    import zlib
+
+    page = "<p>Text é".encode() * 50
+    packed = gzip.compress(page)
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (packed[:20], packed[20:])) + b"0\r\n\r\n"
+    raw = zlib.compress(page)[2:-4]
+    bodies = {
+        "gz": (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n", chunked), "zl": (b"Content-Encoding: deflate\r\n", zlib.compress(page)),
+        "raw": (b"Content-Encoding: deflate\r\n", raw), "br": (b"Content-Encoding: br\r\n", b"\x01\x02"), "plain": (b"Content-Encoding: gzip\r\n", page),
+    }
+    data = b""
+    for name, (extra, body) in bodies.items():
+        block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n" + extra + b"\r\n" + body
+        head = {"WARC-Type": "response", "WARC-Record-ID": f"<urn:{name}>", "WARC-Target-URI": f"http://x.example/{name}", "WARC-Date": "2020-01-01T00:00:00Z",
+                "WARC-IP-Address": "10.0.0.1", "WARC-Payload-Digest": "sha1:SOURCE", "WARC-Block-Digest": "sha1:BLOCK", "Content-Length": str(len(block))}
+        data += warc.to_bytes(head, block)
+    data += warc.to_bytes({"WARC-Type": "request", "Content-Length": "0"}, b"")
+    (tmp_path / "a.warc").write_bytes(data)
+    rows = warc.build(warc.responses_from(warc.read_warc(spark, str(tmp_path)))).collect()
+    assert len(rows) == 10
+    for r in rows:
+        name = r.target_uri.rsplit("/")[-1]
+        assert r.refers_to == f"<urn:{name}>" and r.headers["WARC-IP-Address"] == "10.0.0.1" and r.headers["WARC-Payload-Digest"] == "sha1:SOURCE"
+        if r.kind == "conversion":
+            assert bytes(r.block).decode() == ("" if name == "br" else warc.plain_text(page.decode())), name
+        else:
+            meta = json.loads(bytes(r.block))
+            assert meta["headers"][:2] == [["Set-Cookie", "a=1"], ["Set-Cookie", "b=2"]] and ["WARC-Block-Digest", "sha1:BLOCK"] in meta["source-headers"]
+            assert meta["encoding-left"] == ("br" if name == "br" else "")
