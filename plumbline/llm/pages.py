@@ -2,13 +2,16 @@
 
 A page is cut into text lines, one for each block, each marked with where it stands: in a region that is never main
 text (menus, footers, adverts, forms, ...), in an article, or elsewhere. Pages are paired by URL: sorted by path
-within each host, every page is compared with the page before it (the first with the one after it). The two pages'
+within each host, every page is compared with the nearest page before it that differs (if there is none, with the
+nearest one after it). The two pages'
 lines are aligned by a longest common subsequence, and lines that both share are deleted: they belong to the site.
 Lines inside an article are exempt, since copies and quotations share them too; where a page has an article, its
 lines are the result. So differencing decides on pages without one.
 
 Pairing sorts by range over (host, path): a host of any size spreads over many tasks, and a task holds two pages at a
-time. A page that is alone with its host at the edge of a task has no partner and loses no lines to differencing.
+time. Each task also gives its first and last runs of pages with equal lines; pages at its edges, whose partner may be
+another task's, are settled from these. So the result does not depend on how the pages were dealt. A page with no
+other on its host that differs loses no lines to differencing.
 
 Defined results: a null page is an empty one with an empty text; a null or broken URL has an empty host and path;
 pages that repeat an id are extracted each by itself; other columns are ignored; an empty table gives an empty result.
@@ -17,16 +20,18 @@ pages that repeat an id are extracted each by itself; other columns are ignored;
 from __future__ import annotations
 
 import html
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import ship
+from plumbline.session import materialise, ship
 
 # Element names, and words in class, id and role attributes, by what they say about their contents.
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -205,33 +210,90 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = None  # a page that waits for the one after it
-        before: tuple[str, list] | None = None
+        part = TaskContext.get().partitionId()
+        runs = 0  # runs of pages of one host with equal lines
+        head: list[tuple] = []
+        tail: list[tuple] = []
+        before = None  # the lines of the run before, on the same host
+        waiting: list[tuple] = []  # rows of a host's first run, until another run or the host's end
+        text = None
         for batch in batches:
             done: list[tuple] = []
             for k in range(batch.num_rows):
                 page_id, url, page, host, _ = (c[k].as_py() for c in batch.columns)
                 own = lines(page or "")
-                if first is not None:
-                    done.append((first[0], first[1], main_text(first[2], own if first[3] == host else None)))
-                    first = None
-                if before is not None and before[0] == host:
-                    done.append((page_id, url, main_text(own, before[1])))
+                if not tail or tail[-1] != (host, own):
+                    same = bool(tail) and tail[-1][0] == host
+                    if waiting:
+                        done += _settled(waiting, main_text(tail[-1][1], own if same else None))
+                        waiting = []
+                    before = tail[-1][1] if same else None
+                    runs += 1
+                    tail = [*tail[-1:], (host, own)]
+                    if runs <= 2:
+                        head.append((host, own))
+                    text = main_text(own, before) if before is not None else None
+                if runs == 1:
+                    done.append((page_id, url, None, f"{part} first", None))
+                elif text is None:
+                    waiting.append((page_id, url))
                 else:
-                    first = (page_id, url, own, host)
-                before = (host, own)
-            yield _rows(done)
-        if first is not None:
-            yield _rows([(first[0], first[1], main_text(first[2], None))])
+                    done.append((page_id, url, text, None, None))
+            yield _rows(done, batch.schema.field(0).type)
+        if runs:
+            edge = json.dumps({"part": part, "runs": runs, "head": head, "tail": tail, "open": bool(waiting)})
+            yield _rows([*((i, u, None, f"{part} last", None) for i, u in waiting), (None, None, None, None, edge)], batch.schema.field(0).type)
 
     kind = pages.schema["page_id"].dataType.simpleString()
     keyed = pages.select("page_id", "url", "html").mapInArrow(key, f"page_id {kind}, url string, html string, host string, path string")
     ordered = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.mapInArrow(kernel, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    out = materialise(ordered.mapInArrow(kernel, f"page_id {kind}, url string, text string, open string, edge string"), "pages")
+    texts = _settle_edges([json.loads(r["edge"]) for r in out.where("edge is not null").select("edge").collect()])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [t if o is None else texts[o] for t, o in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(text, pa.string())], ["page_id", "url", "text"])
+
+    settled = out.where("edge is null").select("page_id", "url", "text", "open").mapInArrow(settle, f"page_id {kind}, url string, text string")
+    return settled.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _settled(rows: list[tuple], text: str) -> list[tuple]:
+    return [(*r, text, None, None) for r in rows]
+
+
+def _settle_edges(edges: list[dict]) -> dict[str, str]:
+    """The text of each run that its task left open: a task's first, and its last if it begins a host.
+
+    A task gives its first two and last two runs. Neighbouring runs of a host differ, so these hold the nearest run
+    that differs, before and after, of every open run.
+    """
+    seq: list[tuple[str, list]] = []
+    places: list[tuple[str, int]] = []
+    for e in sorted(edges, key=lambda e: e["part"]):
+        n = e["runs"]
+        places.append((f"{e['part']} first", len(seq)))
+        runs = e["head"] + (e["tail"][-(n - 2):] if n > 2 else [])
+        seq += [(host, [tuple(x) for x in own]) for host, own in runs]
+        if e["open"]:
+            places.append((f"{e['part']} last", len(seq) - 1))
+    texts = {}
+    for name, at in places:
+        host, own = seq[at]
+        other = None
+        for step in (-1, 1):
+            k = at + step
+            while other is None and 0 <= k < len(seq) and seq[k][0] == host:
+                if seq[k][1] != own:
+                    other = seq[k][1]
+                k += step
+        texts[name] = main_text(own, other)
+    return texts
 
 
-def _rows(done: list[tuple]) -> pa.RecordBatch:
+def _rows(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.string())],
-        ["page_id", "url", "text"],
+        [pa.array([d[0] for d in done], kind), *(pa.array([d[k] for d in done], pa.string()) for k in range(1, 5))],
+        ["page_id", "url", "text", "open", "edge"],
     )

@@ -99,3 +99,19 @@ def test_from_archive_to_derived_records(spark, tmp_path):
             meta = json.loads(bytes(r.block))
             assert meta["headers"][:2] == [["Set-Cookie", "a=1"], ["Set-Cookie", "b=2"]] and ["WARC-Block-Digest", "sha1:BLOCK"] in meta["source-headers"]
             assert meta["encoding-left"] == ("br" if name == "br" else "")
+
+
+def test_neighbours_across_tasks_and_copies(spark):
+    frame = "<body><div>Site line</div><div>%s</div><div>Bottom line</div></body>"
+    rows = [(k, f"http://h.example/a/{k:03d}", frame % f"own {k // 3}") for k in range(60)] + [(100 + k, f"http://i.example/{k}", frame % "same") for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        for n, coalesce in (("1", "true"), ("7", "false"), ("40", "false")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set(key, coalesce)
+            got = {r.page_id: r.text for r in pages.extract(df).collect()}
+            assert got == {k: f"own {k // 3}" for k in range(60)} | {100 + k: "Site line\n\nsame\n\nBottom line" for k in range(3)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set(key, "true")
