@@ -369,13 +369,19 @@ def group(
 
 
 def dedup(docs: DataFrame, k: int = 5, pct: int = SIMILARITY_PCT) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest id, once."""
-    found = group(docs, k, pct)
-    keep = materialise(found.where("kept").select(F.col("doc_id").alias("_kept_id")), "kept")
-    twice = not keep.where("_kept_id is not null").groupBy("_kept_id").count().where("count > 1").isEmpty()
-    out = docs.join(
-        keep.where("_kept_id is not null").distinct(), docs["doc_id"].cast("long") == F.col("_kept_id"), "left_semi"
-    )
-    if twice:  # rows that repeat an id: one of them
-        out = out.dropDuplicates(["doc_id"])
+    """``docs`` with one document of each near-duplicate group: the one with the smallest id, once.
+
+    Where ids repeat, rows are grouped by a hash of id and text instead, so that rows of one id with unlike texts do
+    not stand for each other.
+    """
+    some = docs.where("doc_id is not null")
+    if some.groupBy("doc_id").count().where("count > 1").isEmpty():
+        keep = materialise(group(some, k, pct).where("kept").select(F.col("doc_id").alias("_kept_id")), "kept")
+        out = some.join(keep, some["doc_id"].cast("long") == F.col("_kept_id"), "left_semi")
+    else:
+        rows = some.withColumn("_row", F.xxhash64("doc_id", "text"))
+        found = group(rows.select(F.col("_row").alias("doc_id"), "text"), k, pct).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+        least = found.join(rows.select("_row", "doc_id").distinct(), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("m"))
+        keep = materialise(least.select(F.col("m._row").alias("_row")), "kept")
+        out = rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
     return out.unionByName(docs.where(F.col("doc_id").isNull()))

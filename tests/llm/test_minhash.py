@@ -96,3 +96,11 @@ def test_signatures_estimate_similarity():
         errors.append((sig[0] == sig[1]).mean() - 160 / 240)
         assert (np.sort(sig >> np.uint64(48), axis=1) < 240).all()
     assert abs(np.mean(errors)) < 0.02
+
+
+def test_dedup_keeps_unlike_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, b + " more"), (4, c), (4, c), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in minhash.dedup(df).collect()]
+    assert sorted((i or 0, t) for i, t in got) == sorted([(1, a), (1, b), (4, c), (0, a)])
