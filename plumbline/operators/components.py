@@ -43,7 +43,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     known = leaves.unionByName(roots)
     lone = loops.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return known.unionByName(lone)
+    # a table of its own: callers use it several times, and plans over it stay small
+    out = materialise(known.unionByName(lone), "components")
+    drop_materialised(e)
+    return out
 
 
 def _mark(e: DataFrame) -> tuple[int, int]:
