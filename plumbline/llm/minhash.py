@@ -5,9 +5,16 @@ that permutation plus a uniform fraction, and a slot keeps the least value. Rank
 correlated, so the estimate of the similarity varies less than with independent hashes, and an element can be
 dropped as soon as its rank exceeds the largest value left in the signature (early stopping).
 
-Plan: signatures (one pass over the texts) -> one representative for each distinct shingle set -> band buckets ->
-stars around the least member of each bucket, verified on full sets -> union of links -> further rounds for buckets
-that still hold more than one group, until every pair that shares a bucket is linked, in one group or refuted.
+Plan: signatures and band keys (one pass over the texts) -> one representative for each distinct shingle set -> band
+buckets, of those with equal members one -> every bucket in cells of at most ``CELL`` members and ``CELL_BYTES`` of
+sets, each with the bucket's least member -> in each cell, all pairs on full sets, joined by union-find, so that a
+cell gives a spanning forest of its links and never all pairs -> components over the links. Where a bucket took
+several cells and still holds more than one group, its groups meet in further cells: members of all groups but the
+largest meet each other and the largest; nothing else is left to meet. So every pair that shares a bucket is linked,
+in one group or refuted. Texts are never shuffled; sets are made again, for members of buckets only.
+
+Cost: a cell's sets travel once for each bucket a member is in (after merging equal buckets). Groups that share
+buckets and yet stay apart cost the product of their sizes over ``CELL``, which an exact answer needs.
 
 Defined results: a null text is an empty one; texts without words have an empty set and are linked with nothing;
 rows with a null id are grouped with nothing and keep a null component; rows that repeat an id share its group;
@@ -22,33 +29,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.llm._words import U, lower, mix, shingles, slices, word_hashes, words
 from plumbline.operators.components import connected_components
-from plumbline.session import drop_materialised, materialise, ship
+from plumbline.session import materialise, ship
 
 #: Slots of a signature are BANDS * ROWS; a pair at similarity 0.8 misses all bands with odds of 5 in a million.
 BANDS, ROWS = 40, 6
 SIMILARITY_PCT = 80
-#: Members of a bucket that are tested against the whole bucket in one further round.
-PIVOTS = 256
+#: Elements whose permutations are held at once: 16 MB for 240 slots.
+PART = 1 << 15
+#: Members and bytes of shingle sets of a cell, within which all pairs are tested (about: cells are dealt by hash).
+CELL, CELL_BYTES = 1024, 8 << 20
 
 #: Size of the bitmap that picks the texts to be read again: 4 MB.
 FILTER_BITS = 25
-#: Up to so many ids (1 MB) are broadcast as they are, after a count.
-FEW = 50_000
 
 
 def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
-    """SuperMinHash signatures, one row of m slots a set: rank in the high 16 bits, fraction below."""
-    nd = len(sets)
-    sig = np.full((nd, m), np.iinfo(np.uint64).max, U)
+    """SuperMinHash signatures, one row of m slots a set: rank in the high 16 bits, fraction below.
+
+    Sets are taken in runs of ``PART`` elements; of a larger set, each run starts from what the runs before have left.
+    """
+    sig = np.full((len(sets), m), np.iinfo(np.uint64).max, U)
+    ends = np.cumsum([len(s) for s in sets])
+    i = 0
+    while i < len(sets):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - len(sets[i]) + PART, "right")))
+        if j == i + 1:
+            for p in range(0, len(sets[i]), PART):
+                _lower_to(sig[i:j], [sets[i][p : p + PART]])
+        else:
+            _lower_to(sig[i:j], sets[i:j])
+        i = j
+    return sig
+
+
+def _lower_to(sig: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Lower the slots of each signature to the least values of its set's elements."""
+    m = sig.shape[1]
     sizes = np.array([len(s) for s in sets], np.int64)
     if not sizes.sum():
-        return sig
+        return
     e = np.concatenate(sets)
-    row = np.repeat(np.arange(nd), sizes)
+    row = np.repeat(np.arange(len(sets)), sizes)
     flat = sig.reshape(-1)
 
     def draw(x: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +83,10 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
     frac, k0 = draw(e, 0)
     np.minimum.at(flat, row * m + k0, frac)
     perm, own = None, None
+    live = sizes > 0
     for j in range(1, m):
-        live = sig.max(axis=1) >= U(j << 48) if j == 1 else live & (sig.max(axis=1) >= U(j << 48))
-        keep = live[row] & (sizes[row] > 0)
+        live &= sig.max(axis=1) >= U(j << 48)
+        keep = live[row]
         if not keep.any():
             break
         e, row = e[keep], row[keep]
@@ -85,7 +110,6 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
             perm[i, k] = perm[i, j]
             perm[i, j] = slot
         np.minimum.at(flat, row * m + slot, frac | U(j << 48))
-    return sig
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -112,7 +136,6 @@ def _sketch(k: int, bands: int, rows: int):
                 n = np.array([len(s) for s in sets], np.int64)
                 sig = signatures(sets, bands * rows)
                 keys = band_keys(sig, bands, rows)
-                low = mix(sig).astype(np.uint8)
                 with np.errstate(over="ignore"):
                     f1 = np.array([mix(s).sum(dtype=U) if len(s) else U(0) for s in sets], U).view(np.int64)
                     f2 = np.array([mix(s ^ U(0xD1B54A32D192ED03)).sum(dtype=U) if len(s) else U(0) for s in sets], U)
@@ -125,9 +148,8 @@ def _sketch(k: int, bands: int, rows: int):
                         pa.array(f1),
                         pa.array(f2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offs), pa.array(keys[n > 0].reshape(-1))),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    ["doc_id", "n", "f1", "f2", "keys", "sig"],
+                    ["doc_id", "n", "f1", "f2", "keys"],
                 )
 
     return kernel
@@ -154,13 +176,17 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _passes(ids: pa.Array, bitmap: np.ndarray) -> pa.Array:
+    at = _bit(ids.to_numpy(zero_copy_only=False))
+    return pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
+
+
 def _sets(k: int, only):
-    """Shingle sets of the texts, of those whose ids pass a broadcast bitmap if there is one: no shuffle of texts."""
+    """Shingle sets of the texts whose ids pass a broadcast bitmap: no shuffle of texts."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if only is not None:
-                batch = batch.filter(_passes(batch.column(0), only.value))
+            batch = batch.filter(_passes(batch.column(0), only.value))
             for a, b, sets in _text_sets(batch.column(1), k):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -170,123 +196,86 @@ def _sets(k: int, only):
     return kernel
 
 
-def _verify(pct: int):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
-                z = np.sort(np.concatenate((p, q)))
-                both = int((z[1:] == z[:-1]).sum())
-                ok.append(100 * both >= pct * (len(p) + len(q) - both))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["src", "dst"])
-
-    return kernel
+def cell_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
+    """Links that join what is not joined yet among the members of a cell: all pairs are tested or in one group."""
+    root = np.unique(comps, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32) if size.sum() else np.zeros(0, np.int32)
+    ends = np.cumsum(size)
+    begin = ends - size
+    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    out = []
+    for i in range(len(ids) - 1):
+        rest = np.arange(i + 1, len(ids))
+        near = rest[(root[rest] != root[i]) & (np.minimum(size[rest], size[i]) * 100 >= np.maximum(size[rest], size[i]) * pct) & (size[rest] > 0)]
+        if not len(near):
+            continue
+        own = flat[begin[i] : ends[i]]
+        mark[own] = True
+        if len(near) > len(rest) // 4:  # most of the rest: one pass over their elements
+            hits = np.concatenate(([0], np.cumsum(mark[flat[ends[i] :]])))
+            both = hits[ends[near] - ends[i]] - hits[begin[near] - ends[i]]
+        else:
+            both = np.array([np.count_nonzero(mark[flat[begin[j] : ends[j]]]) for j in near])
+        mark[own] = False
+        for j in near[100 * both >= pct * (size[i] + size[near] - both)].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+    return out
 
 
-def _alike(slots: int, pct: int):
-    """Pairs whose signatures agree in enough slots: six standard deviations below what the similarity gives.
+def _cells(pct: int):
+    """Links of every cell; rows (cell columns, doc_id, comp, shingles) come sorted by cell."""
 
-    A pair at the similarity falls below with odds of one in a billion; each slot is compared by one byte, which can
-    only add agreement.
-    """
-    share = pct / 100
-    least = slots * share - 6 * (slots * share * (1 - share)) ** 0.5
+    def settle(rows: list) -> tuple[list, list]:
+        links = cell_links(
+            np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [np.frombuffer(r[2], U) for r in rows], pct
+        )
+        return [x for x, _ in links], [y for _, y in links]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, slots) for k in (2, 3))
-            mask = pa.array((x == y).sum(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["src", "dst"])
+            src, dst = [], []
+            for key, a, b, doc, comp, shingles in zip(*batch.columns, strict=True):
+                cell = (key.as_py(), a.as_py(), b.as_py())
+                if cell != at:
+                    if len(rows) > 1:
+                        x, y = settle(rows)
+                        src += x
+                        dst += y
+                    at, rows = cell, []
+                rows.append((doc.as_py(), comp.as_py(), shingles.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+        if len(rows) > 1:
+            x, y = settle(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
 
     return kernel
 
 
-def _with(pairs: DataFrame, table: DataFrame, col: str) -> DataFrame:
-    left = table.select(F.col("doc_id").alias("src"), F.col(col).alias("x"))
-    right = table.select(F.col("doc_id").alias("dst"), F.col(col).alias("y"))
-    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "x", "y")
-
-
-class _Tests:
-    """Tests of pairs of ids: first on signatures, those that pass on full sets; no pair twice."""
-
-    def __init__(self, texts: DataFrame, sigs: DataFrame, k: int, pct: int, slots: int):
-        self.texts, self.sigs, self.k, self.pct, self.slots = texts, sigs, k, pct, slots
-        self.sets: DataFrame | None = None
-        self.tested: DataFrame | None = None
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["src", "dst"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        near = materialise(
-            _with(pairs, self._of(self.sigs, pairs), "sig").mapInArrow(_alike(self.slots, self.pct), "src long, dst long"), "near"
-        )
-        ids = _ends(near)
-        if self.sets is not None:  # sets are made once for each document that needs one
-            ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
-        ids = materialise(ids, "ids")
-        n = ids.count()
-        if n:
-            texts = self.texts.where("doc_id is not null")
-            if n <= FEW:
-                texts, only = texts.join(F.broadcast(ids), "doc_id", "left_semi"), None
-            else:
-                only = self.texts.sparkSession.sparkContext.broadcast(_filter(ids))
-            more = texts.mapInArrow(_sets(self.k, only), "doc_id long, shingles binary").where("length(shingles) > 0")
-            if only is not None and self.sets is not None:
-                more = more.join(ids, "doc_id", "left_semi")  # what the bitmap lets through besides may be there already
-            more = materialise(more, "sets")
-            self.sets = more if self.sets is None else self.sets.unionByName(more)
-        if self.sets is None:
-            return near
-        full = _with(near, self._of(self.sets, near), "shingles")
-        return materialise(full.mapInArrow(_verify(self.pct), "src long, dst long").distinct(), "links")
-
-    def _of(self, table: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The rows of a table by id that some pair needs (and few others), so that the rest is not shuffled."""
-        return self.some(table, _ends(pairs))
-
-    @staticmethod
-    def some(table: DataFrame, ids: DataFrame) -> DataFrame:
-        """The rows of a table whose ids pass the bitmap of ``ids``."""
-        only = table.sparkSession.sparkContext.broadcast(_filter(ids))
-        names = [f.name for f in table.schema]
-
-        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                mask = _passes(batch.column(0), only.value)
-                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], names)
-
-        return table.mapInArrow(kernel, table.schema)
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("src").alias("doc_id")).unionByName(pairs.select(F.col("dst").alias("doc_id"))).distinct()
+def _links(texts: DataFrame, places: DataFrame, k: int, pct: int) -> DataFrame:
+    """Links found in cells; ``places`` (key, a, b, doc_id, comp) says which documents meet where."""
+    only = texts.sparkSession.sparkContext.broadcast(_filter(places.select("doc_id").distinct()))
+    sets = texts.where("doc_id is not null").mapInArrow(_sets(k, only), "doc_id long, shingles binary").where("length(shingles) > 0")
+    rows = places.join(sets, "doc_id").select("key", "a", "b", "doc_id", "comp", "shingles")
+    dealt = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "doc_id")
+    found = materialise(dealt.mapInArrow(_cells(pct), "src long, dst long"), "links")
+    only.unpersist()
+    return found
 
 
-def _passes(ids: pa.Array, bitmap: np.ndarray) -> pa.Array:
-    at = _bit(ids.to_numpy(zero_copy_only=False))
-    return pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
+def _parts(n: F.Column, size: F.Column, cell: int) -> F.Column:
+    """How many cells n members with so many shingles in all take."""
+    return F.greatest(F.ceil(n / F.lit(cell)), F.ceil(size * 8 / F.lit(CELL_BYTES)), F.lit(1)).cast("long")
 
 
-def group(
-    docs: DataFrame, k: int = 5, pct: int = SIMILARITY_PCT, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS
-) -> DataFrame:
+def group(docs: DataFrame, k: int = 5, pct: int = SIMILARITY_PCT, bands: int = BANDS, rows: int = ROWS, cell: int = CELL) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialise(
-        texts.mapInArrow(
-            _sketch(k, bands, rows), "doc_id long, n long, f1 long, f2 long, keys array<long>, sig binary"
-        ), "sketch",
-    )
+    sketch = materialise(texts.mapInArrow(_sketch(k, bands, rows), "doc_id long, n long, f1 long, f2 long, keys array<long>"), "sketch")
     full = sketch.where("doc_id is not null and n > 0")
     # one representative for each distinct set; partial aggregation takes hot copies down to a row a task
     firsts = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
@@ -294,68 +283,32 @@ def group(
         full.select("doc_id", "n", "f1", "f2").join(firsts, ["n", "f1", "f2"]).select("doc_id", "n", "rep"), "members"
     )
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    of_reps = full.join(reps, "doc_id", "left_semi")
-    # copies of one id with different texts keep all their buckets: the id is one vertex
-    banded = materialise(of_reps.select("doc_id", "n", F.explode("keys").alias("key")), "banded")
-    lead = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).where("lead < other")
-    buckets = materialise(banded.join(lead.select("key", "lead"), "key").where("doc_id <> lead"), "buckets")
-    drop_materialised(banded)
-    sigs = materialise(of_reps.select("doc_id", "n", "sig"), "sigs")
-    tests = _Tests(texts, sigs.select("doc_id", "sig"), k, pct, bands * rows)
-    sizes = sigs.select(F.col("doc_id").alias("dst"), F.col("n").alias("m"))
-    stars = buckets.select(F.col("doc_id").alias("src"), F.col("lead").alias("dst"), "n").distinct()
-    links = tests.links(
-        stars.join(sizes, "dst").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * pct).select("src", "dst")
+    # an id with different texts keeps the buckets of all of them: the id is one vertex
+    sets = full.join(reps, "doc_id", "left_semi").groupBy("doc_id", "n", "f1", "f2").agg(F.first("keys").alias("keys"))
+    banded = sets.select("doc_id", "n", "f1", F.explode("keys").alias("key"))
+    per = banded.groupBy("key").agg(
+        F.count("*").alias("c"), F.sum("n").alias("size"), F.min("doc_id").alias("lead"), F.max("doc_id").alias("other"), F.bit_xor(F.xxhash64("doc_id", "f1")).alias("who")
     )
+    # buckets with the same members are one
+    one = per.where("lead < other").groupBy("c", "size", "lead", "who").agg(F.min("key").alias("key"))
+    buckets = materialise(banded.join(one.withColumn("parts", _parts(F.col("c"), F.col("size"), cell)).select("key", "lead", "parts"), "key"), "buckets")
+
+    part = F.pmod(F.xxhash64("doc_id", "key"), F.col("parts"))
+    own = buckets.select("key", part.alias("a"), F.lit(0).cast("long").alias("b"), "doc_id", F.col("doc_id").alias("comp"))
+    # the least member stands in every cell of its bucket
+    lead = buckets.where("doc_id = lead and parts > 1").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    lead = lead.where(F.col("p") != part).select("key", F.col("p").alias("a"), F.lit(0).cast("long").alias("b"), "doc_id", F.col("doc_id").alias("comp"))
+    links = _links(texts, own.unionByName(lead), k, pct)
     # an id whose rows have different sets joins the groups of all of them
     odd = members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id")
     odd_links = members.join(odd, "doc_id", "left_semi").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    labels = materialise(connected_components(links.unionByName(odd_links)), "labels")
+    labels = connected_components(links.unionByName(odd_links))
 
-    rest, hubs = buckets.select("key", "doc_id", "n"), True
-    while True:
-        # the buckets that still hold more than one group; those already tested against all others have left
-        lab = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-            "comp", F.coalesce("component", "doc_id")
-        )
-        per = lab.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("groups"))
-        rest = materialise(
-            lab.join(mixed.where("groups > 1").select("key", "main"), "key").select("key", "doc_id", "n", "comp", "main"), "mixed"
-        )
-        if rest.isEmpty():
-            break
-        # pivots: first the member with most links of each bucket, as long as such hubs find links (they tie the
-        # others together); then members of any group but the main one, until none is left
-        ends = links.select(F.col("src").alias("doc_id")).unionByName(links.select(F.col("dst").alias("doc_id")))
-        degree = ends.groupBy("doc_id").agg(F.count("*").alias("deg"))
-        turn = Window.partitionBy("key").orderBy(F.desc("deg"), "doc_id")
-        pivot = materialise(
-            rest.where("true" if hubs else "comp <> main").join(degree, "doc_id", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
-            .withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= (1 if hubs else pivots))
-            .select("key", F.col("doc_id").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn")),
-            "pivots",
-        )
-        left, right = rest, pivot
-        if not hubs:
-            # a pair that shares several buckets is tested in the one with the least key only: every bucket tests all
-            # its pairs of different groups in the end, so none is lost
-            ids = rest.select("doc_id").distinct()
-            own = tests.some(full.select("doc_id", "keys"), ids).groupBy("doc_id").agg(F.flatten(F.collect_set("keys")).alias("keys"))
-            own = materialise(own, "keys")
-            left = rest.join(own, "doc_id")
-            right = pivot.join(own.select(F.col("doc_id").alias("pivot"), F.col("keys").alias("pkeys")), "pivot")
-        near = (F.col("comp") != F.col("pcomp")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * pct)
-        if not hubs:
-            near = near & (F.array_min(F.array_intersect("keys", "pkeys")) == F.col("l.key"))
-        both = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & near)
-        found = tests.links(
-            both.select(F.greatest("doc_id", "pivot").alias("src"), F.least("doc_id", "pivot").alias("dst"))
-        )
-        hubs = hubs and not found.isEmpty()
-        links = links.unionByName(found)
-        labels = materialise(connected_components(links.unionByName(odd_links)), "labels")
-        rest = rest.join(pivot.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti").select("key", "doc_id", "n")
+    large = buckets.where("parts > 1")
+    if not large.isEmpty():
+        meet = materialise(_meetings(large, labels, cell), "meetings")
+        if not meet.isEmpty():
+            labels = _updated(labels, _links(texts, meet, k, pct))
 
     of_rep = labels.select(F.col("node").alias("rep"), "component")
     found = members.join(of_rep, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
@@ -368,6 +321,47 @@ def group(
     )
 
 
+def _meetings(large: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
+    """Cells (key, a, b, doc_id, comp) in which the groups of a bucket that took several cells meet.
+
+    Members of the bucket's largest group stand on the far side, where they need not meet each other.
+    """
+    lab = large.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    sums = lab.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    mixed = sums.groupBy("key").agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max(F.struct("c", "comp", "s")).alias("m"), F.count("*").alias("groups"),
+        F.sum("c").alias("c"), F.sum("s").alias("s"),
+    ).where("groups > 1")
+    near = _parts(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s"), max(cell // 2, 1))
+    mixed = mixed.select("key", "main", near.alias("near"), _parts(F.col("m.c"), F.col("m.s"), max(cell // 2, 1)).alias("far"))
+    lab = lab.select("key", "doc_id", "comp").join(mixed, "key")
+    zero = F.lit(0).cast("long")
+    # near side: block i meets block j (a <= b) and, as (i, -1 - j), block j of the far side
+    i = F.pmod(F.xxhash64("doc_id", "key"), F.col("near"))
+    among = F.transform(F.sequence(zero, F.col("near") - 1), lambda j: F.struct(F.least(i, j).alias("a"), F.greatest(i, j).alias("b")))
+    across = F.transform(F.sequence(zero, F.col("far") - 1), lambda j: F.struct(i.alias("a"), (-1 - j).alias("b")))
+    j = F.pmod(F.xxhash64("doc_id", "key"), F.col("far"))
+    facing = F.transform(F.sequence(zero, F.col("near") - 1), lambda k: F.struct(k.alias("a"), (-1 - j).alias("b")))
+    spots = F.when(F.col("comp") == F.col("main"), facing).otherwise(F.concat(among, across))
+    return lab.withColumn("spot", F.explode(spots)).select("key", "spot.a", "spot.b", "doc_id", "comp")
+
+
+def _updated(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: components of the old components, so that settled ones are not worked on again."""
+    if links.isEmpty():
+        return labels
+    of = labels.select("node", F.col("component").alias("c"))
+    ends = links.join(of.withColumnRenamed("c", "x").withColumnRenamed("node", "src"), "src", "left").join(
+        of.withColumnRenamed("c", "y").withColumnRenamed("node", "dst"), "dst", "left"
+    )
+    joined = connected_components(ends.select(F.coalesce("x", "src").alias("src"), F.coalesce("y", "dst").alias("dst")))
+    known = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
+        "node", F.coalesce("to", "component").alias("component")
+    )
+    new = joined.join(labels.select("node"), "node", "left_anti")
+    return materialise(known.unionByName(new), "labels")
+
+
 def dedup(docs: DataFrame, k: int = 5, pct: int = SIMILARITY_PCT) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id, once.
 

@@ -72,8 +72,9 @@ def test_bucket_with_many_groups_takes_further_rounds(spark):
             w[r.randrange(100)] = f"v{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in minhash.group(df, 2, pivots=3).collect())
-    assert got == brute(rows, 2)
+    for cell in (3, 16, 1024):
+        got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in minhash.group(df, 2, cell=cell).collect())
+        assert got == brute(rows, 2)
 
 
 def test_dedup_keeps_one_and_all_columns(spark):
