@@ -369,13 +369,16 @@ def dedup(docs: DataFrame, k: int = 5, pct: int = SIMILARITY_PCT) -> DataFrame:
     not stand for each other.
     """
     some = docs.where("doc_id is not null")
+    row = "_row"
+    while row.lower() in map(str.lower, docs.columns):
+        row += "_"
     if some.groupBy("doc_id").count().where("count > 1").isEmpty():
-        keep = materialise(group(some, k, pct).where("kept").select(F.col("doc_id").alias("_kept_id")), "kept")
-        out = some.join(keep, some["doc_id"].cast("long") == F.col("_kept_id"), "left_semi")
+        keep = materialise(group(some, k, pct).where("kept").select(F.col("doc_id").alias(row)), "kept")
+        out = some.join(keep, some["doc_id"].cast("long") == F.col(row), "left_semi")
     else:
-        rows = some.withColumn("_row", F.xxhash64("doc_id", "text"))
-        found = group(rows.select(F.col("_row").alias("doc_id"), "text"), k, pct).select(F.col("doc_id").alias("_row"), "component_id").distinct()
-        least = found.join(rows.select("_row", "doc_id").distinct(), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("m"))
-        keep = materialise(least.select(F.col("m._row").alias("_row")), "kept")
-        out = rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+        rows = some.withColumn(row, F.xxhash64("doc_id", "text"))
+        found = group(rows.select(F.col(row).alias("doc_id"), "text"), k, pct).select(F.col("doc_id").alias(row), "component_id").distinct()
+        least = found.join(rows.select(F.col(row), F.col("doc_id").alias("d")).distinct(), row).groupBy("component_id").agg(F.min(F.struct("d", row)).alias("m"))
+        keep = materialise(least.select(F.col(f"m.{row}").alias(row)), "kept")
+        out = rows.join(keep, row, "left_semi").dropDuplicates([row]).drop(row)
     return out.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -6,12 +6,14 @@ which its texts are kept: the probabilities keep the raked proportions, are cut
 so that the expected number of kept tokens is the budget. Each text is then kept or not by a hash of its id.
 
 Every category is raked by itself. Where targets are given, categories that they do not name share the target of
-``OTHER``, 0 if there is none. The cell table on the driver, which every task receives, has a row for each source,
+``OTHER``, 0 if there is none. The cell table on the driver, which is broadcast, has a row for each source,
 language and topic that occur together: it grows with the categories, not with the rows. Nothing else leaves the
-executors.
+executors. Targets need not be reachable (a source may occur in one language only): :func:`marginals` says of every
+category what was asked and what the raked weights give, and how far the worst one is off.
 
-A text's topic, where no topic column is given, is the group (by hash) of its most frequent word of five bytes or
-more, ties going to the least hash; texts without such words have topic -1.
+Tokens are words, unless a column of token counts is given (``tokens_col``, say from the token counting operator). A
+text's topic, where no topic column is given, is the group (by hash) of its most frequent word of five bytes or more,
+ties going to the least hash; texts without such words have topic -1.
 
 Defined results: a null source or language is a category; a null text is an empty one (no tokens, topic -1); rows
 with a null id draw like id 0; rows that repeat an id draw alike; other columns are ignored by :func:`weigh` and kept
@@ -21,10 +23,11 @@ by :func:`sample`; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -95,35 +98,43 @@ def _draw(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U) ^ U(0xA0761D6478BD642F)) >> U(11)).astype(float) / 2.0**53
 
 
-def _facts(docs: DataFrame, topic_col: str | None) -> DataFrame:
+def _facts(docs: DataFrame, topic_col: str | None, tokens_col: str | None) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            topic, n = topics(batch.column(3))
+            topic, n = topics(batch.column(3)) if not (topic_col and tokens_col) else (None, None)
             own = batch.column(4) if topic_col else pa.array(topic.astype(str), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], own, pa.array(n)], ["doc_id", "source", "lang", "topic", "n_tokens"]
-            )
+            count = batch.column(5) if tokens_col else pa.array(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], own, count], ["doc_id", "source", "lang", "topic", "n_tokens"])
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-            F.col("lang").cast("string").alias("lang"), F.col("text")]
-    if topic_col:
-        cols.append(F.col(topic_col).cast("string").alias("_topic"))
+            F.col("lang").cast("string").alias("lang"), F.col("text"),
+            (F.col(topic_col).cast("string") if topic_col else F.lit("")).alias("_topic"),
+            (F.greatest(F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)), F.lit(0)) if tokens_col else F.lit(0)).cast("long").alias("_tokens")]
     return docs.select(*cols).mapInArrow(kernel, "doc_id long, source string, lang string, topic string, n_tokens long")
 
 
+@dataclass
+class Mix:
+    """What raking gives: (source, language, topic) -> (weight per token, probability), and its marginals."""
+
+    cells: dict
+    facts: DataFrame
+    marginals: list[tuple[str, str | None, float, float]]  # dimension, category, share asked for, share of the weights
+
+
 def fit(
-    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, topic_col: str | None = None
-) -> tuple[dict, DataFrame]:
-    """(source, language, topic) -> (weight per token, probability); facts of all rows."""
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, topic_col: str | None = None, tokens_col: str | None = None
+) -> Mix:
     ship(docs.sparkSession)
-    facts = materialise(_facts(docs, topic_col), "facts")
+    facts = materialise(_facts(docs, topic_col, tokens_col), "facts")
     sums = facts.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("t")).toArrow()
     rows = sorted(zip(*(sums[c].to_pylist() for c in (*DIMENSIONS, "t")), strict=True), key=lambda r: [(x is not None, x or "") for x in r[:3]])
     if not rows:
-        return {}, facts
+        return Mix({}, facts, [])
     t = np.array([r[3] for r in rows], float)
     codes = np.zeros((len(rows), 3), np.int64)
     shares: list[np.ndarray] = []
+    labels: list[list] = []
     barred = np.zeros(len(rows), bool)
     for k, d in enumerate(DIMENSIONS):
         given = targets.get(d) if targets else None
@@ -137,36 +148,52 @@ def fit(
             have = np.bincount(codes[:, k], t, len(names) + 1)
             share = (have / max(have.sum(), 1)) ** TEMPER * (have > 0)
         shares.append(share / max(share.sum(), 1e-300))
+        labels.append([*names, OTHER])
     w = rake(t, codes, shares)
     p = np.where(t > 0, probabilities(t, w, budget), np.where(barred, 0.0, 1.0))
-    return dict(zip((r[:3] for r in rows), zip((w / np.maximum(t, 1)).tolist(), p.tolist(), strict=True), strict=True)), facts
+    got = [np.bincount(codes[:, k], w, len(labels[k])) / max(w.sum(), 1e-300) for k in range(3)]
+    met = [(d, x, float(a), float(b)) for k, d in enumerate(DIMENSIONS) for x, a, b in zip(labels[k], shares[k], got[k], strict=True) if x != OTHER or a or b]
+    return Mix(dict(zip((r[:3] for r in rows), zip((w / np.maximum(t, 1)).tolist(), p.tolist(), strict=True), strict=True)), facts, met)
+
+
+def marginals(mix: Mix, spark: SparkSession) -> DataFrame:
+    """(dimension, category, target, share, off): what was asked of each category, what the weights give, the difference."""
+    return spark.createDataFrame([(*r, abs(r[2] - r[3])) for r in mix.marginals], "dimension string, category string, target double, share double, off double")
 
 
 def _lookup(cells: dict, source: pa.Array, lang: pa.Array, topic: list) -> np.ndarray:
-    return np.array([cells[c] for c in zip(source.to_pylist(), lang.to_pylist(), topic, strict=True)], float).reshape(-1, 2)
+    """Weight and probability of each row, looked up once for each combination that the batch holds."""
+    seen: dict = {}
+    at = [seen.setdefault(c, len(seen)) for c in zip(source.to_pylist(), lang.to_pylist(), topic, strict=True)]
+    return np.array([cells[c] for c in seen], float).reshape(-1, 2)[at]
 
 
-def weigh(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, topic_col: str | None = None) -> DataFrame:
+def weigh(
+    docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, topic_col: str | None = None, tokens_col: str | None = None
+) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, kept) of every row."""
-    cells, facts = fit(docs, targets, budget, topic_col)
+    mix = fit(docs, targets, budget, topic_col, tokens_col)
+    cells = docs.sparkSession.sparkContext.broadcast(mix.cells)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _lookup(cells, batch.column(1), batch.column(2), batch.column(3).to_pylist())
+            x = _lookup(cells.value, batch.column(1), batch.column(2), batch.column(3).to_pylist())
             u = _draw(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(u < x[:, 1])],
                 [*batch.schema.names, "weight", "probability", "kept"],
             )
 
-    return facts.mapInArrow(
+    return mix.facts.mapInArrow(
         kernel, "doc_id long, source string, lang string, topic string, n_tokens long, weight double, probability double, kept boolean"
     )
 
 
-def sample(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, topic_col: str | None = None) -> DataFrame:
+def sample(
+    docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, topic_col: str | None = None, tokens_col: str | None = None
+) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they are; no shuffle of texts."""
-    cells, _ = fit(docs, targets, budget, topic_col)
+    cells = docs.sparkSession.sparkContext.broadcast(fit(docs, targets, budget, topic_col, tokens_col).cells)
     at = {c: docs.columns.index(c) for c in ("doc_id", "source", "lang", "text")}
     topic_at = docs.columns.index(topic_col) if topic_col else None
 
@@ -177,7 +204,7 @@ def sample(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET,
             else:
                 topic = batch.column(topic_at).cast(pa.string()).to_pylist()
             source, lang = (batch.column(at[c]).cast(pa.string()) for c in ("source", "lang"))
-            p = _lookup(cells, source, lang, topic)[:, 1]
+            p = _lookup(cells.value, source, lang, topic)[:, 1]
             ids = batch.column(at["doc_id"]).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
             mask = pa.array(_draw(ids) < p)
             yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], batch.schema.names)

@@ -68,9 +68,11 @@ _SPELL = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\x20-]*)?(?:{_WORD}|[0-9]+)(?:{_SEP
 _SPELL_ONE = re.compile(rf"plus|{_WORD}", re.I)
 _SPELL_HINT = re.compile(rf"(?<!\w)(?:plus)?{_WORD}(?!\w)", re.I)
 _BRACKET_HINT = re.compile(r"[\[({<]\s*(?:at|dot|@|\.|punkt|punto|point|arroba|arobase|ät)\s*[\])}>]", re.I)
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|arobase|ät)\s*[\])}>]\s*", re.I)
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*", re.I)
-_LOCAL = r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*"
+# white space before a sign is taken in by _tight: a pattern that begins with it would scan a long run again and again
+_AT = re.compile(r"[\[({<]\s*(?:at|@|arroba|arobase|ät)\s*[\])}>]\s*", re.I)
+_DOT = re.compile(r"[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*", re.I)
+# a name before the sign has at most 64 characters by the mail standard, so at most 32 parts
+_LOCAL = r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+){0,31}"
 _PLAIN = re.compile(
     _LOCAL + r"(\s+at\s+|\s*@\s*)"
     r"[A-Za-z0-9-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]+)*?(?:\.|\s+dot\s+)(?:" + "|".join(ENDINGS) + r")(?![\w-])",
@@ -80,7 +82,7 @@ _PLAIN = re.compile(
 _BOTH = re.compile(
     _LOCAL + r"(\s+at\s+(?!(?:the|an?)\s)|\s*@\s*)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{2,}(?![\w-])", re.I
 )
-_PLAIN_DOT = re.compile(r"\s+dot\s+", re.I)
+_PLAIN_DOT = re.compile(r"(?<!\s)\s+dot\s+", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
 _PLAIN_HINT = re.compile(r"\sdot\s|(?:\sat\s+|\s@\s*|@\s+)[A-Za-z0-9-]+\.[A-Za-z0-9-]", re.I)
 
@@ -159,6 +161,18 @@ class Rewritten:
         self.text, self.first, self.end, self.new = "".join(text), first, end, new
 
 
+def _tight(text: str, sign: re.Pattern, by: str) -> list[tuple[int, int, str]]:
+    """Each sign with the white space before it (the pattern takes in what follows)."""
+    edits, end = [], 0
+    for m in sign.finditer(text):
+        a = m.start()
+        while a > end and text[a - 1].isspace():
+            a -= 1
+        end = m.end()
+        edits.append((a, end, by))
+    return edits
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELL.finditer(text):
@@ -199,8 +213,8 @@ def rewrite(text: str) -> Rewritten | None:
     if hidden:
         r.apply([(m.start(), m.end(), LOOK_ALIKES.get(m.group(), "")) for m in _ALIKE.finditer(text)])
     if _BRACKET_HINT.search(r.text):
-        r.apply([(m.start(), m.end(), "@") for m in _AT.finditer(r.text)])
-        r.apply([(m.start(), m.end(), ".") for m in _DOT.finditer(r.text)])
+        r.apply(_tight(r.text, _AT, "@"))
+        r.apply(_tight(r.text, _DOT, "."))
     if _PLAIN_HINT.search(r.text):
         r.apply(_signs(r.text))
     if _SPELL_HINT.search(r.text) and (edits := _spelled(r.text)):

@@ -27,57 +27,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm._words import U, mix, slices, word_hashes, words
+from plumbline.llm._words import SLICE_BYTES, U, mix, slices, word_hashes, words
 from plumbline.session import materialise, ship
 
 #: Labelled rows that fitting looks at, at most.
 LABELLED = 20_000
 BUCKETS = 1 << 14
-#: Power to which weights are taken before the draw; the larger, the less the noise decides.
-SHARPNESS = 8.0
 
 _CLASS = np.zeros(256, np.uint8)  # 1 lower, 2 capital, 3 digit, 4 mark, 5 beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 5
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
 
 
-def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every n-gram of the rows' texts."""
-    row_of = np.repeat(np.arange(len(off) - 1), np.diff(off))
+def grams(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and row of every n-gram of the rows' texts, in parts of bounded size however long a text is."""
     half = BUCKETS // 2
-    if len(buf) < 3:
-        tri = np.zeros(0, np.int64)
-        tri_row = tri
-    else:
-        x = buf.astype(np.uint32)
+    for o in range(0, len(buf) - 2, SLICE_BYTES):
+        x = buf[o : o + SLICE_BYTES + 2].astype(np.uint32)
         code = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
         tri = ((code * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int64)  # the top 13 bits
-        inside = row_of[:-2] == row_of[2:]
-        tri, tri_row = tri[inside], row_of[:-2][inside]
+        row = np.searchsorted(off, np.arange(o, o + len(x)), "right") - 1 if len(off) > 2 else np.zeros(len(x), np.int64)
+        inside = row[:-2] == row[2:]
+        yield tri[inside], row[:-2][inside]
     s, e, row = words(buf, off)
-    if not len(s):
-        return tri, tri_row
     h = word_hashes(buf, s, e)
-    kind = _CLASS[buf]
     at = lambda k: np.minimum(k, len(buf) - 1)
-    same = np.zeros(len(s), np.int64)
-    same[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-    shape = (
-        kind[s].astype(np.int64) + 6 * kind[at((s + e) // 2)] + 36 * kind[e - 1] + 216 * np.minimum(np.log2(e - s).astype(np.int64), 5)
-        + 1296 * same + 2592 * (buf[e - 1] == 46) + 5184 * (buf[at(e)] == 10)
-    )
-    tri_row, tri = [tri_row], [tri]
-    for n in (1, 3):
-        if len(shape) < n:
-            continue
-        with np.errstate(over="ignore"):
-            c = np.full(len(shape) - n + 1, U(n))
-            for j in range(n):
-                c = c * U(0x9E3779B97F4A7C15) + mix(shape[j : len(shape) - n + 1 + j].astype(U))
-        ok = row[: len(c)] == row[n - 1 :]
-        tri.append((mix(c)[ok] % U(half)).astype(np.int64) + half)
-        tri_row.append(row[: len(c)][ok])
-    return np.concatenate(tri), np.concatenate(tri_row)
+    step = SLICE_BYTES // 8
+    for o in range(0, len(s), step):
+        # two words more, for the n-grams that begin here, and the word before, for sameness
+        ps, pe, pr, ph = (x[o : o + step + 2] for x in (s, e, row, h))
+        before = slice(max(o - 1, 0), o - 1 + len(ps))
+        same = np.zeros(len(ps), np.int64)
+        skip = int(o == 0)
+        same[skip:] = (ph[skip:] == h[before]) & (pr[skip:] == row[before])
+        shape = (
+            _CLASS[buf[ps]].astype(np.int64) + 6 * _CLASS[buf[at((ps + pe) // 2)]] + 36 * _CLASS[buf[pe - 1]]
+            + 216 * np.minimum(np.log2(pe - ps).astype(np.int64), 5) + 1296 * same + 2592 * (buf[pe - 1] == 46) + 5184 * (buf[at(pe)] == 10)
+        )
+        for n in (1, 3):
+            m = min(step, len(shape) - n + 1)
+            if m <= 0:
+                continue
+            with np.errstate(over="ignore"):
+                c = np.full(m, U(n))
+                for j in range(n):
+                    c = c * U(0x9E3779B97F4A7C15) + mix(shape[j : m + j].astype(U))
+            ok = pr[:m] == pr[n - 1 : m + n - 1]
+            yield (mix(c)[ok] % U(half)).astype(np.int64) + half, pr[:m][ok]
 
 
 def gumbel(ids: np.ndarray) -> np.ndarray:
@@ -101,9 +97,10 @@ def _ids(column: pa.Array) -> np.ndarray:
 def _weights(batch: pa.RecordBatch, id_at: int, text_at: int, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
     for a, b, buf, off in slices(batch.column(text_at)):
-        g, row = grams(buf, off)
-        n[a:b] = np.bincount(row, minlength=b - a)
-        w[a:b] = SHARPNESS * np.bincount(row, ratio[g], b - a) / np.sqrt(np.maximum(n[a:b], 1))
+        for g, row in grams(buf, off):
+            n[a:b] += np.bincount(row, minlength=b - a)
+            w[a:b] += np.bincount(row, ratio[g], b - a)
+    w /= np.sqrt(np.maximum(n, 1))
     return w, n
 
 
@@ -116,9 +113,9 @@ def _count(docs: DataFrame, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         for batch in batches:
             hit = np.isin(_ids(batch.column(0)), ids.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for a, b, buf, off in slices(batch.column(1)):
-                g, row = grams(buf, off)
-                raw += np.bincount(g, minlength=BUCKETS)
-                good += np.bincount(g[hit[a:b][row]], minlength=BUCKETS)
+                for g, row in grams(buf, off):
+                    raw += np.bincount(g, minlength=BUCKETS)
+                    good += np.bincount(g[hit[a:b][row]], minlength=BUCKETS)
         live = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(raw[live]), pa.array(good[live])], ["g", "raw", "good"])
 

@@ -68,3 +68,26 @@ def test_columns_and_masking(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in masked.collect()}
     assert got[1] == ("[EMAIL] and [PHONE]", 19) and got[None] == (None, None) and got[3] == ("[EMAIL]", 7)
     assert pii.find(df.where("false")).count() == 0
+
+
+def test_long_runs_of_blanks_take_linear_time():
+    import time
+
+    for t in ("a [at]" + " " * 1_000_000 + "b dot c", "a at b" + " " * 1_000_000 + "dot com", " " * 1_000_000 + "(at) x", "a" + " dot" * 10_000, "[" + " " * 1_000_000):
+        began = time.time()
+        pii.all_spans(t)
+        assert time.time() - began < 2, t[:10]
+    assert found("x" + " " * 5000 + "[at] y.org") == [("email", "x" + " " * 5000 + "[at] y.org")]
+
+
+def test_disguises_in_the_texts_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text is not null")
+    hidden = docs.selectExpr("doc_id", "concat(text, '\n write jane.roe (at) mail [dot] example dot org or plus four nine one five one two three four five six') as text")
+    plain = {r.doc_id: r for r in pii.find(docs).collect()}
+    got = {r.doc_id: r for r in pii.find(hidden).collect()}
+    texts = {r.doc_id: r.text for r in hidden.collect()}
+    for i, r in got.items():
+        new = [x.split(":") for x in r.spans.split(",")]
+        assert (r.n_email, r.n_phone) == (plain[i].n_email, plain[i].n_phone)
+        shown = [(k, texts[i][int(a) : int(b)]) for k, a, b in new]
+        assert ("email", "jane.roe (at) mail [dot] example dot org") in shown and any(k == "phone" and x.startswith("plus four nine") for k, x in shown)
