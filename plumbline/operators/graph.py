@@ -60,41 +60,48 @@ def ranked_components(labels: DataFrame) -> DataFrame:
     return labels.join(rank.select("component", "comp"), "component").select("node", "comp")
 
 
-def support_forest(edges: DataFrame, nodes: DataFrame, roots: DataFrame, max_rounds: int = 400) -> DataFrame:
+def support_forest(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(pid, pred, root, system, dist, depth): metric shortest paths from root points to all nodes.
 
-    ``roots`` is (pid, system); a point in several root sets belongs to the smallest system. Relaxation in rounds:
-    nodes whose distance fell offer it to their neighbours; ties go to the smaller predecessor. Unreached nodes have
-    system 0, root -1, depth -1 and no distance.
+    ``roots`` is (pid, system); a point in several root sets belongs to the smallest system. Relaxation in rounds, as
+    many as it takes: nodes that came nearer offer their distance to their neighbours. Only then the smallest of a
+    node's neighbours on a shortest path becomes its predecessor, and root, system and depth follow from the
+    predecessors, by pointer doubling. Unreached nodes have system 0, root -1, depth -1 and no distance.
     """
     e = undirected(edges).withColumn("len", F.col("len").cast("double"))
     both = materialise(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "len")), "both")
-    r = roots.groupBy("pid").agg(F.min("system").alias("system"))
-    state = materialise(
-        r.select("pid", F.lit(0.0).alias("dist"), F.lit(-1).cast("long").alias("pred"), F.col("pid").alias("root"), "system", F.lit(0).alias("depth"), F.lit(True).alias("fresh")), "forest"
-    )
-    for _ in range(max_rounds):
-        offer = (
-            state.where("fresh").join(both, F.col("pid") == F.col("src"))
-            .select(F.col("dst").alias("pid"), (F.col("dist") + F.col("len")).alias("dist"), F.col("src").alias("pred"), "root", "system", (F.col("depth") + 1).alias("depth"))
-        )
-        k = F.struct("dist", "pred", "root", "system", "depth")
-        offer = offer.groupBy("pid").agg(F.min(k).alias("k"))
-        old = state.select("pid", F.struct("dist", "pred", "root", "system", "depth").alias("o"))
-        j = old.join(offer, "pid", "full")
-        better = F.col("o").isNull() | (F.col("k").isNotNull() & ((F.col("k.dist") < F.col("o.dist")) | ((F.col("k.dist") == F.col("o.dist")) & (F.col("o.pred") >= 0) & (F.col("k.pred") < F.col("o.pred")))))
-        now = j.select("pid", F.when(better, F.col("k")).otherwise(F.col("o")).alias("s"), better.alias("fresh")).select("pid", "s.*", "fresh")
-        nxt = materialise(now, "forest")
+    r = materialise(roots.groupBy("pid").agg(F.min("system").alias("system")), "roots")
+    # steps tell which of two nodes at the same distance (edges of length 0) comes first
+    state = materialise(r.select("pid", F.lit(0.0).alias("dist"), F.lit(0).alias("steps"), F.lit(True).alias("fresh")), "forest")
+    while not state.where("fresh").isEmpty():
+        offer = state.where("fresh").join(both, F.col("pid") == F.col("src")).groupBy(F.col("dst").alias("pid")).agg(
+            F.min(F.struct((F.col("dist") + F.col("len")).alias("dist"), (F.col("steps") + 1).alias("steps"))).alias("k")
+        )
+        j = state.select("pid", F.struct("dist", "steps").alias("o")).join(offer, "pid", "full")
+        better = F.col("o").isNull() | (F.col("k").isNotNull() & (F.col("k") < F.col("o")))
+        nxt = materialise(j.select("pid", F.when(better, F.col("k")).otherwise(F.col("o")).alias("s"), better.alias("fresh")).select("pid", "s.*", "fresh"), "forest")
         drop_materialised(state)
         state = nxt
-        if state.where("fresh").isEmpty():
+    near = state.select("pid", "dist", "steps").join(r.select("pid", F.lit(True).alias("is_root")), "pid", "left")
+    ways = (
+        state.select(F.col("pid").alias("src"), F.col("dist").alias("d0"), F.col("steps").alias("s0")).join(both, "src")
+        .join(near.where("is_root is null").withColumnRenamed("pid", "dst"), "dst")
+        .where((F.col("d0") + F.col("len") == F.col("dist")) & ((F.col("d0") < F.col("dist")) | (F.col("s0") < F.col("steps"))))
+        .groupBy(F.col("dst").alias("pid")).agg(F.min("src").alias("pred"))
+    )
+    tree = materialise(near.join(ways, "pid", "left").select("pid", "dist", F.coalesce("pred", F.lit(-1)).alias("pred")), "tree")
+    up = materialise(tree.select("pid", F.when(F.col("pred") >= 0, F.col("pred")).otherwise(F.col("pid")).alias("at"), F.when(F.col("pred") >= 0, 1).otherwise(0).alias("depth")), "up")
+    while True:
+        far = up.select(F.col("pid").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        nxt = materialise(up.join(far, "at").select("pid", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "up")
+        drop_materialised(up)
+        up = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
             break
-    else:
-        raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
-    out = nodes.select("pid").distinct().join(state.drop("fresh"), "pid", "left")
-    # a node may be offered a better depth after its own neighbours took it: depths follow from the stored predecessors
+    found = tree.join(up, "pid").join(r.select(F.col("pid").alias("at"), "system"), "at")
+    out = nodes.select("pid").distinct().join(found, "pid", "left")
     return out.select(
-        "pid", F.coalesce("pred", F.lit(-1)).alias("pred"), F.coalesce("root", F.lit(-1)).alias("root"), F.coalesce("system", F.lit(0)).cast("int").alias("system"), "dist",
+        "pid", F.coalesce("pred", F.lit(-1)).alias("pred"), F.coalesce("at", F.lit(-1)).alias("root"), F.coalesce("system", F.lit(0)).cast("int").alias("system"), "dist",
         F.coalesce("depth", F.lit(-1)).alias("depth"),
     )
 

@@ -18,26 +18,39 @@ def renumber(table: DataFrame, key: str = "inst") -> DataFrame:
     return table.select(key, (F.row_number().over(Window.orderBy(F.desc("size"), key)) - 1).alias("rank"))
 
 
-def extents(points: DataFrame, key: str = "inst") -> DataFrame:
-    """Per instance: counts, ranges, robust heights, and plan extents along the principal axes.
+def extents(points: DataFrame, key: str = "inst", pix: float = 1.0) -> DataFrame:
+    """Per instance: counts, ranges, robust heights, plan extents along the axes (ex, ey) and along the principal axes
+    (length, width), and the share of its plan box's cells that hold a point (fill).
 
     The principal axes of a 2 x 2 covariance have a closed form; extents along them need one more aggregation on the
     same key, so the second shuffle is on a partitioning that is already there.
     """
     a = points.groupBy(key).agg(
         F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("vxy"),
-        F.min("z").alias("z0"), F.max("z").alias("z1"), F.percentile("z", F.lit(0.02)).alias("z02"), F.percentile("z", F.lit(0.98)).alias("z98"),
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("z").alias("z0"), F.max("z").alias("z1"),
+        *(F.percentile("z", F.lit(q)).alias(f"z{round(q * 100):02d}") for q in (0.02, 0.95, 0.98)),
     )
     a = a.withColumn("theta", F.atan2(2 * F.col("vxy"), F.col("vx") - F.col("vy")) / 2)
-    j = points.select(key, "x", "y").join(a.select(key, "mx", "my", "theta"), key)
+    j = points.select(key, "x", "y").join(a.select(key, "mx", "my", "x0", "y0", "theta"), key)
     dx, dy, t = F.col("x") - F.col("mx"), F.col("y") - F.col("my"), F.col("theta")
-    j = j.select(key, (dx * F.cos(t) + dy * F.sin(t)).alias("u"), (dy * F.cos(t) - dx * F.sin(t)).alias("v"))
-    e = j.groupBy(key).agg((F.max("u") - F.min("u")).alias("length"), (F.max("v") - F.min("v")).alias("width"))
-    return a.join(e, key).select(key, "n", "z0", "z1", "z02", "z98", "theta", "length", "width")
+    spot = F.struct(*(F.floor((F.col(v) - F.col(f"{v}0")) / F.lit(pix)) for v in "xy"))
+    j = j.select(key, (dx * F.cos(t) + dy * F.sin(t)).alias("u"), (dy * F.cos(t) - dx * F.sin(t)).alias("v"), spot.alias("spot"))
+    # one row a cell first, so that counting cells needs no set
+    c = j.groupBy(key, "spot").agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
+    e = c.groupBy(key).agg((F.max("u1") - F.min("u0")).alias("length"), (F.max("v1") - F.min("v0")).alias("width"), F.count("*").alias("hit"))
+    ex, ey = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    cells = (F.floor(ex / F.lit(pix)) + 1) * (F.floor(ey / F.lit(pix)) + 1)
+    return a.join(e, key).select(
+        key, "n", "z0", "z1", "z02", "z95", "z98", "theta", "length", "width", ex.alias("ex"), ey.alias("ey"), (F.col("hit") / cells).alias("fill")
+    )
+
+
+def _plan() -> Column:
+    return F.greatest("ex", "ey")
 
 
 def like_car(veg_share: Column | None = None, exg: Column | None = None) -> Column:
-    h = F.col("z1") - F.col("z0")
+    h = F.col("z95") - F.col("z02")
     out = F.col("length").between(2.5, 6.5) & F.col("width").between(1.4, 2.6) & h.between(1.2, 2.2)
     if veg_share is not None:
         out = out & (F.coalesce(veg_share, F.lit(0.0)) <= 0.5)
@@ -47,37 +60,39 @@ def like_car(veg_share: Column | None = None, exg: Column | None = None) -> Colu
 
 
 def like_pole() -> Column:
-    return ((F.col("z98") - F.col("z02")) > 2.5) & (F.greatest("length", "width") < 1.2)
+    return ((F.col("z98") - F.col("z02")) > 2.5) & (_plan() < 1.2)
 
 
-def like_tree(ground: Column, base: Column) -> Column:
-    return (F.col("z1") - ground).between(2.0, 35.0) & (F.greatest("length", "width") <= 20) & (base <= 10)
+def like_tree(ground: Column) -> Column:
+    return (F.col("z98") - ground).between(2.0, 35.0) & (_plan() <= 20) & ((F.col("z02") - ground) <= 10)
 
 
-def like_boat(water: Column, fill: Column, max_len: float = 25.0, min_fill: float = 0.22) -> Column:
-    size = F.greatest("length", "width")
-    return size.between(1.0, max_len) & ((F.col("z0") - water) <= 3) & ((F.col("z1") - water) <= 15) & (fill >= min_fill)
+def like_boat(water: Column, max_len: float = 25.0, min_fill: float = 0.22) -> Column:
+    return _plan().between(1.0, max_len) & ((F.col("z02") - water) <= 3) & ((F.col("z95") - F.col("z02")) <= 15) & (F.col("fill") >= min_fill)
 
 
 def like_deck(ratio: float = 3.0, min_plan: float = 5.0) -> Column:
-    plan = F.greatest("length", "width")
-    return (plan >= min_plan) & (plan >= ratio * (F.col("z1") - F.col("z0")))
+    return (_plan() >= min_plan) & (_plan() >= ratio * F.greatest(F.col("z1") - F.col("z0"), F.lit(1e-9)))
 
 
 def roof_band(points: DataFrame, key: str = "inst", min_h: float = 1.0, bin_m: float = 0.5, frac: float = 0.05, least: int = 20) -> DataFrame:
-    """(key, lo, hi): the lowest unbroken run of height bins that hold 5 % of the fullest one; (key, z, ground) in."""
-    h = points.withColumn("h", F.col("z") - F.col("ground")).where(F.col("h") >= min_h)
-    b = h.groupBy(key, F.floor((F.col("h") - min_h) / bin_m).cast("long").alias("bin")).agg(F.count("*").alias("c"))
+    """(key, lo, hi), as heights like z: the band of a building's own returns; (key, z, ground) in, one ground a key.
+
+    The band begins ``min_h`` over the ground. It ends with the lowest unbroken run of height bins that hold ``frac``
+    of the fullest one; with fewer than ``least`` points above its beginning it has no end. The top bin is closed: a
+    highest point on its lower edge belongs to the bin below.
+    """
+    over = F.col("z") - F.col("ground") - F.lit(min_h)
+    b = points.withColumn("h", over).where(F.col("h") >= 0).groupBy(key, F.floor(F.col("h") / bin_m).cast("long").alias("bin")).agg(F.count("*").alias("c"), F.max("h").alias("top"))
     w = Window.partitionBy(key)
+    closed = (F.col("bin") == F.max("bin").over(w)) & (F.col("bin") > 0) & (F.col("top") == F.col("bin") * bin_m)
+    b = b.withColumn("bin", F.when(closed, F.col("bin") - 1).otherwise(F.col("bin"))).groupBy(key, "bin").agg(F.sum("c").alias("c"))
     b = b.withColumn("peak", F.max("c").over(w)).withColumn("all", F.sum("c").over(w))
     s = b.where((F.col("c") >= frac * F.col("peak")) & (F.col("all") >= least))
     run = s.withColumn("run", F.col("bin") - F.row_number().over(w.orderBy("bin")))
-    first = run.withColumn("r0", F.min("run").over(w)).where("run = r0")
-    lo, hi = F.min("bin") * bin_m + min_h, (F.max("bin") + 1) * bin_m + min_h
-    few = points.select(key).distinct()
-    return few.join(first.groupBy(key).agg(lo.alias("lo"), hi.alias("hi")), key, "left").select(
-        key, F.coalesce("lo", F.lit(float(min_h))).alias("lo"), F.coalesce("hi", F.lit(float("inf"))).alias("hi")
-    )
+    first = run.withColumn("r0", F.min("run").over(w)).where("run = r0").groupBy(key).agg((F.max("bin") + 1).alias("end"))
+    base = points.groupBy(key).agg((F.min("ground") + F.lit(min_h)).alias("lo"))
+    return base.join(first, key, "left").select(key, "lo", F.coalesce(F.col("lo") + F.col("end") * bin_m, F.lit(float("inf"))).alias("hi"))
 
 
 def coverage(points: DataFrame, cells: DataFrame, key: str = "inst", bin_m: float = 2.0) -> DataFrame:

@@ -138,14 +138,15 @@ def map_claims(label: Column, water: Column, dock: Column, bridge: Column, build
 
     Every claim is judged on the label that the claims before it left; its opinion stays even where it lost.
     """
+    # The labels that each claim may take from.
     take = {
-        "water": ("ground", "veg_low", "small", "unlabelled"), "floating": ("ground", "water", "building", "small", "unlabelled"),
-        "bridge": ("ground", "building", "small", "unlabelled"), "building": ("small", "veg_high", "glazing", "unlabelled"), "ground": ("veg_low", "small", "unlabelled"),
+        "water": ("ground",), "dock": ("water", "ground", "small"), "bridge": ("ground", "small", "floating", "veg_low", "veg_high"),
+        "building": ("small", "floating"), "ground": ("small", "veg_low"),
     }
     kind = F.lit("")
-    for cond, to in ((water, "water"), (dock, "floating"), (bridge, "bridge"), (building, "building"), (ground, "ground")):
-        label = F.when(cond & label.isin(*take[to]), F.lit(to)).otherwise(label)
-        kind = F.when(cond, F.lit(to)).otherwise(kind)
+    for cond, name in ((water, "water"), (dock, "dock"), (bridge, "bridge"), (building, "building"), (ground, "ground")):
+        label = F.when(cond & label.isin(*take[name]), F.lit("floating" if name == "dock" else name)).otherwise(label)
+        kind = F.when(cond, F.lit(name)).otherwise(kind)
     return label, kind
 
 
@@ -159,10 +160,14 @@ def vegetation_veto(label: Column, in_water: Column) -> Column:
 
 
 def marina_superstructure(points: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(pid, label): vegetation and small things over the lowest floating point of their water cell float too."""
-    low = points.where("label = 'floating'").join(bodies.select("cell"), "cell", "left_semi").groupBy("cell").agg(F.min("z").alias("floor"))
+    """(pid, label): vegetation and small things above the lowest floating point of their water cell float too.
+
+    Floors are single-precision, and a point may lie a hundredth below its floor.
+    """
+    low = points.where("label = 'floating'").join(bodies.select("cell"), "cell", "left_semi").groupBy("cell").agg(F.min(F.col("z").cast("float")).alias("floor"))
     j = points.join(low, "cell", "left")
-    rig = F.col("label").isin("veg_high", "veg_low", "small") & (F.col("z") >= F.col("floor"))
+    above = F.col("z").cast("double") > (F.col("floor") - F.lit(0.01).cast("float")).cast("double")
+    rig = F.col("label").isin("veg_high", "veg_low", "small") & above
     return j.select("pid", F.when(F.coalesce(rig, F.lit(False)), "floating").otherwise(F.col("label")).alias("label"))
 
 

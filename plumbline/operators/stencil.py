@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components
+from plumbline.session import materialise
 
 
 def square(r: int) -> list[tuple[int, int]]:
@@ -119,7 +120,7 @@ def flood(seeds: DataFrame, surface: DataFrame, level: float | None, nx: int, ny
             ok = ok | ((F.col("n_ground") == 0) & (F.col("z") <= level + deck_tol))
         mask = mask.unionByName(surface.where(ok).select("cell")).distinct()
     lab = cell_components(mask, nx, ny, 4)
-    wet = lab.join(lab.join(seeds, "cell", "left_semi").select("component").distinct(), "component", "left_semi").select("cell")
+    wet = materialise(lab.join(lab.join(seeds, "cell", "left_semi").select("component").distinct(), "component", "left_semi").select("cell"), "wet")
     return cell_components(fill_holes(wet, nx, ny), nx, ny, 8).select("cell", F.col("component").alias("body"))
 
 

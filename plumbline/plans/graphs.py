@@ -301,12 +301,12 @@ def _(spark, d):
 _MAPF = "pid % 3 = 0", "pid % 5 = 0", "pid % 7 = 0", "pid % 4 = 0", "pid % 11 = 0"
 
 
-@query("map_claims", _T + """, a as (select *, case when pid % 3 = 0 and label in ('ground', 'veg_low', 'small', 'unlabelled') then 'water' else label end as l1 from t),
-b as (select *, case when pid % 5 = 0 and l1 in ('ground', 'water', 'building', 'small', 'unlabelled') then 'floating' else l1 end as l2 from a),
-c as (select *, case when pid % 7 = 0 and l2 in ('ground', 'building', 'small', 'unlabelled') then 'bridge' else l2 end as l3 from b),
-f as (select *, case when pid % 4 = 0 and l3 in ('small', 'veg_high', 'glazing', 'unlabelled') then 'building' else l3 end as l4 from c)
-select pid, case when pid % 11 = 0 and l4 in ('veg_low', 'small', 'unlabelled') then 'ground' else l4 end as label,
- case when pid % 11 = 0 then 'ground' when pid % 4 = 0 then 'building' when pid % 7 = 0 then 'bridge' when pid % 5 = 0 then 'floating' when pid % 3 = 0 then 'water' else '' end as mtype from f""")
+@query("map_claims", _T + """, a as (select *, case when pid % 3 = 0 and label = 'ground' then 'water' else label end as l1 from t),
+b as (select *, case when pid % 5 = 0 and l1 in ('water', 'ground', 'small') then 'floating' else l1 end as l2 from a),
+c as (select *, case when pid % 7 = 0 and l2 in ('ground', 'small', 'floating', 'veg_low', 'veg_high') then 'bridge' else l2 end as l3 from b),
+f as (select *, case when pid % 4 = 0 and l3 in ('small', 'floating') then 'building' else l3 end as l4 from c)
+select pid, case when pid % 11 = 0 and l4 in ('small', 'veg_low') then 'ground' else l4 end as label,
+ case when pid % 11 = 0 then 'ground' when pid % 4 = 0 then 'building' when pid % 7 = 0 then 'bridge' when pid % 5 = 0 then 'dock' when pid % 3 = 0 then 'water' else '' end as mtype from f""")
 def _(spark, d):
     label, kind = L.map_claims(F.col("label"), *[F.expr(e) for e in _MAPF])
     return tree_labels(spark, d).select("pid", label.alias("label"), kind.alias("mtype"))
@@ -322,11 +322,14 @@ def _(spark, d):
     return tree_labels(spark, d).select("pid", L.vegetation_veto(F.col("label"), F.expr("pid % 3 = 0")).alias("label"))
 
 
-@query("marina_rig", _T + """, w as (select *, case when label = 'water' then 'floating' else label end as l from t), f as (select cell, min(z) as floor from w where l = 'floating' and cell % 2 = 0 group by cell)
-select pid, case when l in ('veg_high', 'veg_low', 'small') and z >= floor then 'floating' else l end as label from w left join f using (cell)""")
+@query("marina_rig", _T + """, w as (select *, case when label = 'water' then 'floating' else label end as l from t),
+body as (select cell from t where label = 'water' group by cell having count(*) >= 2),
+f as (select cell, min(cast(z as float)) - cast(0.01 as float) as floor from w semi join body using (cell) where l = 'floating' group by cell)
+select pid, case when l in ('veg_high', 'veg_low', 'small') and z > cast(floor as double) then 'floating' else l end as label from w left join f using (cell)""")
 def _(spark, d):
-    t = tree_labels(spark, d).withColumn("label", F.when(F.col("label") == "water", "floating").otherwise(F.col("label")))
-    return L.marina_superstructure(t, t.where("cell % 2 = 0").select("cell").distinct())
+    t = tree_labels(spark, d)
+    bodies = t.where("label = 'water'").groupBy("cell").count().where("count >= 2")
+    return L.marina_superstructure(t.withColumn("label", F.when(F.col("label") == "water", "floating").otherwise(F.col("label"))), bodies)
 
 
 @query("path_refinement", _T + """ select pid, case when label = 'veg_high' and planar < 2e0 / 3e0 and scatter > 1e0 / 3e0 and echo < 3e-1 and exg <= 2e-2 then 'building'
@@ -384,20 +387,25 @@ def _(spark, d):
     return I.extents(inst(spark, d)).where("n >= 3").select("inst", "n", "z0", "z1", *r6("z02", "z98"), F.round("length", 4).alias("length"), F.round("width", 4).alias("width"))
 
 
-@query("looks_like", _EXT + """ select inst, length between 25e-1 and 65e-1 and width between 14e-1 and 26e-1 and z1 - z0 between 12e-1 and 22e-1 as car, z98 - z02 > 25e-1 and greatest(length, width) < 12e-1 as pole,
- greatest(length, width) >= 5 and greatest(length, width) >= 3 * (z1 - z0) as deck, z1 between 2 and 35 and greatest(length, width) <= 20 and z0 <= 10 as tree,
- greatest(length, width) between 1 and 25 and z0 <= 3 and z1 <= 15 and n / 16e0 >= 22e-2 as boat from x where n >= 3""")
+@query("looks_like", _EXT + """, m as (select inst, min(x) as x0, min(y) as y0, max(x) - min(x) as ex, max(y) - min(y) as ey, quantile_cont(z, 0.95) as z95 from i group by inst),
+o as (select i.inst, count(distinct (floor(x - x0), floor(y - y0))) as hit from i join m using (inst) group by 1),
+k as (select *, greatest(ex, ey) as plan, hit / ((floor(ex) + 1) * (floor(ey) + 1)) as fill from x join m using (inst) join o using (inst) where n >= 3)
+select inst, length between 25e-1 and 65e-1 and width between 14e-1 and 26e-1 and z95 - z02 between 12e-1 and 22e-1 as car, z98 - z02 > 25e-1 and plan < 12e-1 as pole,
+ plan >= 5 and plan >= 3 * greatest(z1 - z0, 1e-9) as deck, z98 between 2 and 35 and plan <= 20 and z02 <= 10 as tree,
+ plan between 1 and 25 and z02 <= 3 and z95 - z02 <= 15 and fill >= 22e-2 as boat from k""")
 def _(spark, d):
     e = I.extents(inst(spark, d)).where("n >= 3")
-    return e.select("inst", I.like_car().alias("car"), I.like_pole().alias("pole"), I.like_deck().alias("deck"), I.like_tree(F.lit(0.0), F.col("z0")).alias("tree"), I.like_boat(F.lit(0.0), F.col("n") / 16.0).alias("boat"))
+    return e.select("inst", I.like_car().alias("car"), I.like_pole().alias("pole"), I.like_deck().alias("deck"), I.like_tree(F.lit(0.0)).alias("tree"), I.like_boat(F.lit(0.0)).alias("boat"))
 
 
-@query("roof_band", _INST + """, b as (select inst, cast(floor((z - 1) / 5e-1) as bigint) as bin, count(*) as c from i where z >= 1 group by 1, 2),
-s as (select *, max(c) over (partition by inst) as peak, sum(c) over (partition by inst) as al from b), k as (select inst, bin, bin - row_number() over (partition by inst order by bin) as run from s where c >= 5e-2 * peak and al >= 20),
-f as (select *, min(run) over (partition by inst) as r0 from k), g as (select inst, min(bin) * 5e-1 + 1 as lo, (max(bin) + 1) * 5e-1 + 1 as hi from f where run = r0 group by inst)
-select distinct i.inst, coalesce(lo, 1e0) as lo, coalesce(hi, cast('inf' as double)) as hi from i left join g using (inst)""")
+@query("roof_band", _INST + """, over as (select inst, z - 3e-1 - 1e0 as h from i where z - 3e-1 - 1e0 >= 0), tops as (select inst, max(h) as top, count(*) as al from over group by 1),
+bins as (select over.inst, al, case when h = top and floor(h / 5e-1) > 0 and h = floor(h / 5e-1) * 5e-1 then floor(h / 5e-1) - 1 else floor(h / 5e-1) end as bin, count(*) as c from over join tops using (inst) group by 1, 2, 3),
+marked as (select *, c >= 5e-2 * max(c) over (partition by inst) as strong from bins where al >= 20), firsts as (select inst, min(bin) as first from marked where strong group by 1),
+runs as (select marked.inst, bin, bin - first - row_number() over (partition by marked.inst order by bin) + 1 as gap from marked join firsts using (inst) where strong),
+stops as (select inst, max(bin) + 1 as stop from runs where gap = 0 group by 1)
+select distinct i.inst, 3e-1 + 1e0 as lo, coalesce(3e-1 + 1e0 + stop * 5e-1, cast('inf' as double)) as hi from i left join stops using (inst)""")
 def _(spark, d):
-    return I.roof_band(inst(spark, d).withColumn("ground", F.lit(0.0)))
+    return I.roof_band(inst(spark, d).withColumn("ground", F.lit(0.3)))
 
 
 _COV = _INST + ", c as (select inst, cast(floor(z / 2e0) as bigint) as bin, count(distinct cast(floor(x) * 1000 + floor(y) as bigint)) / 16e0 as share from i group by 1, 2)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,12 +51,15 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: under spark.checkpoint.dir where the cluster names one.
 
-    Only where that setting is unset (tests, a laptop) a folder of this process is used.
+    Only where that setting is unset and everything runs in one process (tests, a laptop) a folder of its own is used;
+    on a cluster without the setting this raises, since a local folder would not be shared.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
         if not base:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="plumbline-")
             sc.setCheckpointDir(base)
         folder = f"{base.rstrip('/')}/plumbline-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
