@@ -11,8 +11,8 @@ def test_structure():
         "<html><head><title>t</title></head><body><header>H</header><nav>N</nav><div class='cookie-notice'>C</div><article><header><h1>T &amp; u</h1></header>"
         "<p>a <b>x</b>y\n  z<p>second<script>if(a<b)</script><form>F</form><aside>S</aside><section id=comments><p>c</section></article><footer>f</footer>"
     )
-    assert pages.main_text(pages.lines(page), None) == "T & u\n\na xy z\n\nsecond"
-    assert pages.main_text(pages.lines(""), None) == ""
+    assert pages.main_text(pages.lines(page), None) == ("T & u\n\na xy z\n\nsecond", 0)
+    assert pages.main_text(pages.lines(""), None) == ("", 0)
     assert pages.lines("&lt;b&gt; &am <b") == [(pages.ELSEWHERE, "<b> &am")]
 
 
@@ -41,6 +41,65 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert pages.extract(df.where("false")).count() == 0
 
 
+def plain_extract(rows):
+    """The rule page by page, in plain terms."""
+    keyed = sorted((*pages.url_key(u), i, u, pages.lines(h or "")) for i, u, h in rows)
+    out = []
+    for k, (host, path, i, u, own) in enumerate(keyed):
+        lo, hi = k, k
+        while lo and keyed[lo - 1][0] == host and keyed[lo - 1][4] == own:
+            lo -= 1
+        while hi + 1 < len(keyed) and keyed[hi + 1][0] == host and keyed[hi + 1][4] == own:
+            hi += 1
+        near = [keyed[x] if 0 <= x < len(keyed) and keyed[x][0] == host else None for x in (lo - 1, hi + 1)]
+
+        def start(a, b):
+            n = 0
+            while n < min(len(a), len(b)) and a[n] == b[n]:
+                n += 1
+            return n
+
+        pick = near[0] or near[1]
+        if near[0] and near[1] and start(near[1][1], keyed[hi][1]) > start(near[0][1], keyed[lo][1]):
+            pick = near[1]
+        gone = pages.shared([t for _, t in own], [t for _, t in pick[4]]) if pick else set()
+        left = [(p, t) for j, (p, t) in enumerate(own) if p == pages.ARTICLE or j not in gone]
+        best = pages.ARTICLE if any(p == pages.ARTICLE for p, _ in left) else pages.ELSEWHERE
+        out.append((i, u, "\n\n".join(t for p, t in left if p == best), len(own) - len(left)))
+    return sorted(map(str, out))
+
+
+def test_whole_query_by_brute_force_however_dealt(spark):
+    r = random.Random(6)
+    rows = [(x.page_id, x.url, x.html) for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    site = ["Home", "About us", "Terms", "Mail us", "Top stories"]
+    for k in range(160):
+        own = [f"own words {r.randrange(40)}" for _ in range(r.randint(0, 3))]
+        body = "".join(f"<div>{x}</div>" for x in (*site[: r.randint(1, 5)], *own, *site[r.randint(2, 5) :]))
+        rows.append((10_000 + k, f"http://h{r.randrange(2)}.example/{r.choice('ab')}/{r.choice('cd')}{r.randrange(30)}", body))
+    rows += [(20_000 + k, f"http://copies.example/{k:02d}", "<p>same</p><div>all</div>") for k in range(40)] + [(30_000, "http://copies.example/99", "<p>same</p>more")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = plain_extract(rows)
+    for n in ("1", "4", "37"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = [(x.page_id, x.url, x.text, x.n_shared) for x in pages.extract(df).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert sorted(map(str, got)) == want, n
+    table = {x[0]: x for x in got if x[0] < 10_000}
+    print("lines that differencing deletes on sf0.01:", sum(x[3] for x in table.values()))
+    assert sum(x[3] for x in table.values()) > 0
+
+
+def test_very_long_page(spark):
+    page = "<nav>" + "<a href=x>menu</a>" * 50_000 + "</nav><article>" + "<p>word and word</p>" * 100_000 + "</article>" + "<" * 200_000
+    df = spark.createDataFrame([(1, "http://a.example/1", page), (2, "http://a.example/2", page)], "page_id long, url string, html string")
+    assert [r.n_chars for r in pages.extract(df).collect()] == [100_000 * 15 - 2] * 2
+
+
 def test_derived_records(spark):
     df = spark.createDataFrame(
         [(1, "http://a.example/x", '<title>T</title><a href="y?a&amp;b">l</a><p>Text é</p>', 1), (2, None, None, 2), (2, None, None, 2)],
