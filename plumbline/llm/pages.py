@@ -29,6 +29,7 @@ import html
 import json
 import os
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -235,9 +236,9 @@ def extract(pages: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 url = [url_key(x) for x in part.column(1).to_pylist()]
-                text = ["\n".join(f"{p}{t}" for p, t in lines(x.as_py() or "")) for x in part.column(2)]
+                text = [_packed(lines(x.as_py() or "")) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:2], pa.array([x[0] for x in url], pa.string()), pa.array([x[1] for x in url], pa.string()), pa.array(text, pa.string())],
+                    [*part.columns[:2], pa.array([x[0] for x in url], pa.string()), pa.array([x[1] for x in url], pa.string()), pa.array(text, pa.binary())],
                     ["page_id", "url", "host", "path", "lines"],
                 )
 
@@ -252,7 +253,7 @@ def extract(pages: DataFrame) -> DataFrame:
         def settled(after) -> list[tuple]:
             at = edge[-1]
             same = [x and x[0] == at[0] and tuple(x[1:]) or None for x in (before, after)]
-            text, gone = main_text(_unpacked(packed), _partner(at[1], at[2], *same))
+            text, gone = main_text(_placed(_shown(packed)), _partner(at[1], at[2], *same))
             return [(i, u, text, gone, None, None) for i, u in rows]
 
         for batch in batches:
@@ -262,9 +263,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 if n and (host, text) == (edge[-1][0], packed):
                     edge[-1][2] = path
                 else:
-                    new = [host, path, path, marks(_unpacked(text))]
+                    new = [host, path, path, marks(_placed(_shown(text)))]
                     if n == 1:
-                        done += [(i, u, packed, None, f"{part} first", None) for i, u in rows]
+                        done += [(i, u, _shown(packed), None, f"{part} first", None) for i, u in rows]
                     elif n:
                         done += settled(new)
                     before = edge[-1] if n else None
@@ -274,10 +275,10 @@ def extract(pages: DataFrame) -> DataFrame:
             yield _rows(done, batch.schema.field(0).type)
         if n:
             name = f"{part} {'first' if n == 1 else 'last'}"
-            last = [(i, u, packed, None, name, None) for i, u in rows]
+            last = [(i, u, _shown(packed), None, name, None) for i, u in rows]
             yield _rows([*last, (None, None, None, None, None, json.dumps({"part": part, "runs": edge, "n": n}))], batch.schema.field(0).type)
 
-    cuts = pages.select("page_id", "url", "html").mapInArrow(cut, f"page_id {kind}, url string, host string, path string, lines string")
+    cuts = pages.select("page_id", "url", "html").mapInArrow(cut, f"page_id {kind}, url string, host string, path string, lines binary")
     ordered = cuts.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
     out = materialise(ordered.mapInArrow(kernel, f"page_id {kind}, url string, text string, n_shared long, open string, edge string"), "pages")
     partners = _settle_edges([json.loads(r["edge"]) for r in out.where("edge is not null").select("edge").collect()])
@@ -288,14 +289,23 @@ def extract(pages: DataFrame) -> DataFrame:
             text, gone = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for k, o in enumerate(batch.column(4).to_pylist()):
                 if o is not None:
-                    text[k], gone[k] = main_text(_unpacked(text[k]), found.value[o])
+                    text[k], gone[k] = main_text(_placed(text[k]), found.value[o])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(text, pa.string()), pa.array(gone, pa.int64())], ["page_id", "url", "text", "n_shared"])
 
     whole = out.where("edge is null").select("page_id", "url", "text", "n_shared", "open").mapInArrow(settle, f"page_id {kind}, url string, text string, n_shared long")
     return whole.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
 
 
-def _unpacked(text: str) -> list[tuple[int, str]]:
+def _packed(own: list[tuple[int, str]]) -> bytes:
+    """Lines with their places, compressed: this is what is moved and kept of a page."""
+    return zlib.compress("\n".join(f"{p}{t}" for p, t in own).encode("utf-8", "surrogatepass"), 6)
+
+
+def _shown(packed: bytes) -> str:
+    return zlib.decompress(packed).decode("utf-8", "surrogatepass")
+
+
+def _placed(text: str) -> list[tuple[int, str]]:
     return [(int(x[0]), x[1:]) for x in text.split("\n")] if text else []
 
 
