@@ -11,15 +11,20 @@ query in a block are ranked again by exact distances in double precision, and so
 whose distance may still be as small as the last one needed: a vector is no nearer than its code's point less the
 length of its coding error. So no answer is lost in groups of near copies, however large.
 
-Plan: equal vectors become one (with as many ids as an answer can need) -> codes, packed with their vectors into
-blocks of rows -> every block meets every block of queries (the stated query set: ids divisible by EVERY) -> the best
-of each block by exact distance -> the best of each query. The code book is learned on a bounded sample (SAMPLE rows with the
-least hashes of their ids) and is broadcast (a few kB); every row is coded and scanned.
-
-Defined results: vectors that are null, empty, zero, of another length than the first in hash order, or hold null or
-non-finite components take no part, and neither do rows with a null id; rows that repeat an id are separate
-candidates (but never answer a query of their own id); ties go to the smaller id; an empty table gives an empty
-result; other columns are ignored.
+Plan: equal vectors become one (with as many ids as an answer can need) -> coarse cells around centres (k-means on the
+sample, about one for every ``CELL_ROWS`` vectors, ``MAX_CELLS`` at most) -> codes, packed with their vectors into
+blocks, a cell with many vectors into several -> each query of the stated set (ids divisible by EVERY) goes to the
+blocks of the ``PROBES`` cells whose centres are nearest, and to no other -> the best of each block by exact distance
+-> the best of each query. So work and what is moved grow with the rows, not with rows times queries (up to
+``MAX_CELLS * CELL_ROWS`` vectors; beyond that take a larger sample and more cells). What a query can miss are
+neighbours in cells it does not probe: recall is measured in the tests. Centres and code book are learned on a bounded
+sample (SAMPLE rows with the least hashes of their ids) and are broadcast (2 MB at most for 64 dimensions); every row
+is coded and placed.
+
+Defined results: vectors that are null, empty, zero, of another length than the most frequent one (the smallest of
+several), or hold null or non-finite components take no part, and neither do rows with a null id; rows that repeat an
+id are separate candidates (but never answer a query of their own id); ties go to the smaller id; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +49,10 @@ ETA = 4.0
 WORDS = 16
 CODE_BLOCK = 8_192
 QUERY_BLOCK = 256
+#: Vectors for which there is one coarse cell, cells at most, and cells that a query looks into.
+CELL_ROWS = 1_024
+MAX_CELLS = 4_096
+PROBES = 24
 
 
 def _eta_loss(r: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -105,6 +114,27 @@ def learn(x: np.ndarray, rounds: int = 8, seed: int = 7) -> np.ndarray:
     return book
 
 
+def centres(x: np.ndarray, k: int, rounds: int = 6, seed: int = 11) -> np.ndarray:
+    """Centres of k cells by k-means; begun at sample rows, so that dense regions get many."""
+    c = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(rounds):
+        of = nearest_centres(x, c, 1)[:, 0]
+        n = np.bincount(of, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, of, x)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def nearest_centres(x: np.ndarray, c: np.ndarray, p: int) -> np.ndarray:
+    """The p nearest centres of each row (rows x p), nearest first; a thousand rows at a time."""
+    half, out = (c * c).sum(1) / 2, []
+    for k in range(0, len(x), 1000):
+        value = half - x[k : k + 1000] @ c.T
+        out.append(np.argsort(value, axis=1, kind="stable")[:, :p])
+    return np.concatenate(out) if out else np.zeros((0, min(p, len(c))), np.int64)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -173,8 +203,9 @@ def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = EVERY, nearest: int = NEAREST, refine: int = REFINE
-) -> DataFrame:
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = EVERY, nearest: int = NEAREST, refine: int = REFINE,
+    probes: int = PROBES, cell_rows: int = CELL_ROWS,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     ship(spark)
@@ -184,21 +215,42 @@ def search(
     rows = rows.where(
         F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))) & F.exists("x", lambda v: v != 0)
     )
-    first = rows.orderBy(F.xxhash64("id"), "id").limit(1).select(F.size("x").alias("d")).collect()
-    if not first:
+    lengths = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = first[0]["d"]
+    dim = lengths[0]["d"]
     rows = rows.where(F.size("x") == dim).withColumn("hash", F.xxhash64("x"))
-    sample = rows.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    book = learn(_pad(_matrix(sample["x"].combine_chunks())))
+    sample = _matrix(rows.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()["x"].combine_chunks())
+    book = learn(_pad(sample))
+    middle = spark.sparkContext.broadcast(centres(sample, min(MAX_CELLS, -(-lengths[0]["n"] // cell_rows))))
+
+    def place(p: int):
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 2000):
+                    part = batch.slice(k, 2000)
+                    near = nearest_centres(_matrix(part.column(0)), middle.value, p)
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel(), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, cells], [*part.schema.names, "cells"])
+
+        return kernel
 
     # equal vectors: one place in the scan, with the ids that can be among the answers (one may be the query's own)
     turn = Window.partitionBy("hash", "x").orderBy("id")
     few = rows.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= nearest + 1)
-    sets = materialise(few.groupBy("hash", "x").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("place", F.element_at("ids", 1)).withColumn("number", F.monotonically_increasing_id()), "vectors")
-    queries = materialise(rows.where(F.col("id") % every == 0).select("id", "x").dropDuplicates(), "queries")
-    n, nq = sets.count(), queries.count()
-    code_blocks, query_blocks = max(1, -(-n // CODE_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
+    joint = few.groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    sets = joint.mapInArrow(place(1), "x array<double>, ids array<long>, cells array<long>")
+    sets = sets.select("x", "ids", F.element_at("ids", 1).alias("place"), F.element_at("cells", 1).alias("cell"))
+    sets = materialise(sets.withColumn("number", F.monotonically_increasing_id()), "vectors")
+    asked = rows.where(F.col("id") % every == 0).select("x", "id").dropDuplicates()
+    asked = asked.mapInArrow(place(probes), "x array<double>, id long, cells array<long>").select("id", "x", F.explode("cells").alias("cell"))
+    asked = materialise(asked, "queries")
+    # counts by cell: MAX_CELLS rows at most
+    n_rows, n_asked = ({r["cell"]: r["count"] for r in t.groupBy("cell").count().collect()} for t in (sets, asked))
+    n_cells = len(middle.value)
+    parts = np.array([-(-n_rows.get(c, 0) // CODE_BLOCK) for c in range(n_cells)], np.int64)
+    first = np.cumsum(parts) - parts
+    turns = np.array([max(1, -(-n_asked.get(c, 0) // QUERY_BLOCK)) for c in range(n_cells)], np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,11 +258,24 @@ def search(
                 part = batch.slice(k, 2000)
                 v = _matrix(part.column(1))
                 code = pack(assign(_pad(v), book))
+                cell, hashed = (part.column(c).to_numpy() for c in (2, 3))
+                block = first[cell] + hashed % parts[cell]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:1], *part.columns[2:], pa.array([r.tobytes() for r in v], pa.binary()), pa.array([c.tobytes() for c in code], pa.binary())],
+                    [part.column(0), pa.array(block), *part.columns[4:], pa.array([r.tobytes() for r in v], pa.binary()), pa.array([c.tobytes() for c in code], pa.binary())],
                     ["place", "block", "number", "sole", "vector", "code"],
                 )
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once for every block of its cells."""
+        for batch in batches:
+            cell, hashed = (batch.column(c).to_numpy() for c in (2, 3))
+            at = np.repeat(np.arange(len(cell)), parts[cell])
+            step = np.arange(len(at)) - np.repeat(np.cumsum(parts[cell]) - parts[cell], parts[cell])
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(first[cell][at] + step), pa.array((hashed % turns[cell])[at])], ["id", "x", "block", "turn"]
+            )
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by block: the rows of a block within a task make one piece
         kept: dict[int, list] = {}
@@ -227,14 +292,18 @@ def search(
 
     # a set with one id only is no answer to the query of that id
     sole = (F.size(F.array_distinct("ids")) == 1).alias("sole")
-    coded = sets.select("place", "x", F.pmod(F.xxhash64("hash", "place"), F.lit(code_blocks)).alias("block"), "number", sole).mapInArrow(
+    hashed = F.pmod(F.xxhash64("place", "number"), F.lit(1 << 40)).alias("hashed")
+    coded = sets.select("place", "x", "cell", hashed, "number", sole).mapInArrow(
         encode, "place long, block long, number long, sole boolean, vector binary, code binary"
     )
-    pieces = coded.repartition(code_blocks, "block").mapInArrow(
+    pieces = coded.repartition(max(1, int(parts.sum())), "block").mapInArrow(
         packed, "block long, places binary, numbers binary, soles binary, vectors binary, codes binary"
     )
-    asked = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).groupBy("qb").agg(F.collect_list(F.struct("id", "x")).alias("qs"))
-    pairs = pieces.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))).join(asked, "qb")
+    there = asked.select("id", "x", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("hashed")).mapInArrow(
+        spread, "id long, x array<double>, block long, turn long"
+    )
+    groups = there.groupBy("block", "turn").agg(F.collect_list(F.struct("id", "x")).alias("qs"))
+    pairs = pieces.join(groups, "block")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -60,3 +60,31 @@ def test_recall_among_near_copies(spark):
     dense = [h for h, g in zip(hits, got, strict=True) if g.query_id % 3 == 0]
     print("recall", np.mean(hits), "in the group", np.mean(dense))
     assert len(got) == 600 and all(hits)
+
+
+def test_recall_on_fifty_thousand(spark):
+    r = np.random.default_rng(12)
+    n, dim = 50_000, 32
+    # a mixture of clusters of very different sizes, a third in one dense group, a tenth without any structure
+    middles = r.normal(size=(200, dim))
+    x = middles[r.integers(0, 200, n) * (r.random(n) < 0.67)] + r.normal(size=(n, dim)) * r.choice([0.1, 0.4, 0.8], n)[:, None]
+    x[::10] = r.normal(size=(n // 10, dim))
+    ids = np.arange(n)
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    for probes, cell_rows, least in ((ann.PROBES, ann.CELL_ROWS, 0.95), (16, 512, 0.8)):
+        got: dict[int, set] = {}
+        for g in ann.search(df, probes=probes, cell_rows=cell_rows).collect():
+            got.setdefault(g.query_id, set()).add(g.vec_id)
+        hits = []
+        for q in ids[::100]:
+            d = ((x - x[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hits.append(len(got[q] & set(np.argpartition(d, 10)[:10].tolist())) / 10)
+        print("recall with", probes, "of", -(-n // cell_rows), "cells:", np.mean(hits))
+        assert len(got) == 500 and np.mean(hits) >= least
+
+
+def test_the_most_frequent_length_counts(spark):
+    rows = [(k, [float(k % 7) + 1, 2.0, float(k)]) for k in range(1, 60)] + [(100, [1.0, 2.0, 3.0]), (200, [1.0, 2.0]), (300, [4.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {g.query_id for g in got} == {100} and len(got) == 10
