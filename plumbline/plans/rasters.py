@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import boundary as B
 from plumbline.operators import cells as C
 from plumbline.operators import stencil as S
 from plumbline.operators import views as V
@@ -375,3 +376,35 @@ select pid, round(t.s / t.n, 6) as cube from q join t using (cell, zb)"""
 def _(spark, d):
     p = C.height_above_cell_min(points(spark, d), BOX).join(points(spark, d).select("pid", (F.col("intensity") % 100 / 100.0).alias("scatter")), "pid")
     return S.cube_scatter(p, 60, 60).select("pid", *r6("cube"))
+
+
+@query("local_boundary", _EDGE + """, lbc as (select quantile_cont(strength, 0.95) as t1, quantile_cont(strength, 0.75) as t2 from es),
+lbg as (select lba.cell, coalesce(es.strength, 0e0) as v from (select unnest(range(3600)) as cell) lba left join es using (cell)), lbo as (select unnest(range(-7, 8)) as d),
+lbn as (select lbg.cell, lbg.cell // 60 + o1.d as y, lbg.cell % 60 + o2.d as x from lbg, lbo o1, lbo o2),
+lbs as (select cell, (case when y < 0 then -y - 1 when y > 59 then 119 - y else y end) * 60 + case when x < 0 then -x - 1 when x > 59 then 119 - x else x end as src from lbn),
+lbr as (select lbs.cell, list_sort(list(lbg.v))[113] as ref from lbs join lbg on lbg.cell = lbs.src group by 1)
+select lbg.cell from lbg join lbr using (cell), lbc where v > t1 or (v > t2 and v >= ref)""")
+def _(spark, d):
+    return B.local_boundary(V.edge_strength(points(spark, d), BOX), 60, 60)
+
+
+@query("dem", f""", dmg as (select {NORTH} as cell, min(z) as dtm from p where {INSIDE} and classification = 2 group by 1), dmt as (select {NORTH} as cell, max(z) as dsm from p where {INSIDE} group by 1),
+dma as (select unnest(range(3600)) as cell), dmd as (select dma.cell, sqrt(min((dma.cell % 60 - dmg.cell % 60) * (dma.cell % 60 - dmg.cell % 60) + (dma.cell // 60 - dmg.cell // 60) * (dma.cell // 60 - dmg.cell // 60))) as distance from dma, dmg group by 1)
+select dma.cell, cast(dtm as double) as dtm, distance, cast(dsm as double) as dsm from dma left join dmg using (cell) left join dmt using (cell) join dmd using (cell)""")
+def _(spark, d):
+    return B.dem(points(spark, d), BOX, method="nearest").select("cell", "dtm", "distance", "dsm")
+
+
+@query("dem_stats")
+def _(spark, d):
+    return B.dem_stats(B.dem(points(spark, d), BOX))
+
+
+@query("ground_cells")
+def _(spark, d):
+    return B.ground_cells(points(spark, d), BOX, resolution=1.0, block=16.0, halo=4.0, rounds=80)
+
+
+@query("instances")
+def _(spark, d):
+    return B.instances(points(spark, d), BOX, edge=60.0, edge_low=40.0, min_area=4.0, veg_ratio=None, span=11)
