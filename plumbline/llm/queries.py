@@ -1,4 +1,10 @@
-"""The queries of the operators in this subpackage, and their SQL where it can express them."""
+"""The queries of the operators in this subpackage, and their SQL where it can express them.
+
+Each query takes the whole table and keeps its operator's results for nulls, empty texts and tables, ties, repeated
+rows and extra columns, which the operator's module states. In short: one row for each input row (op2: ten for each
+query vector, op5: two for each page); null texts count as empty; empty tables give empty results; other columns are
+ignored whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +17,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies over two-word shingles; a null id has a null component and is kept."""
     from plumbline.llm import minhash
 
     return minhash.group(_read(spark, sf_dir, "documents"), k=2)
@@ -23,18 +30,21 @@ def pieces_model() -> str:
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each vector whose id is divisible by 100; vectors that are null, zero or not finite take no part."""
     from plumbline.llm import ann
 
     return ann.search(_read(spark, sf_dir, "embeddings"))
 
 
 def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight and verdict of every document; a text without n-grams has weight 0."""
     from plumbline.llm import resample
 
     return resample.weigh(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; a null page is empty, a null URL has an empty host."""
     from plumbline.llm import pages
 
     return pages.extract(_read(spark, sf_dir, "pages"))
@@ -55,18 +65,21 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weight, probability and draw of every document; a null source or language is a category."""
     from plumbline.llm import mixing
 
     return mixing.weigh(_read(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text; a null text has none."""
     from plumbline.llm import pii
 
     return pii.find(_read(spark, sf_dir, "documents"))
 
 
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every text; texts without words fail the rules."""
     from plumbline.llm import lines
 
     docs = _read(spark, sf_dir, "documents")
@@ -74,6 +87,7 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text; a null text has none."""
     from plumbline.llm import tokens
 
     return tokens.token_counts(_read(spark, sf_dir, "documents"), pieces_model())
