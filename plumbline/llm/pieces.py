@@ -34,6 +34,8 @@ SPACE = "▁"
 _B = U(0x9E3779B97F4A7C15 | 1)
 #: Segments above this length take the scalar form of the same program.
 LONG = 512
+#: Text bytes that one look into the table takes: each look that finds new segments copies the table's keys.
+RUN_BYTES = 2 << 20
 
 
 def _char_code(c: np.ndarray) -> np.ndarray:
@@ -402,7 +404,7 @@ def runs(table: Table, column: pa.Array):
     """A :class:`Run` for each stretch of rows of a string column; null is an empty text."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     column = pc.replace_substring(column, SPACE, " ")
-    for a, b, raw, off in slices(column):
+    for a, b, raw, off in slices(column, RUN_BYTES):
         buf, s, e, rows = segments(raw, off, table.p.joined)
         slot = table.look(word_hashes(buf, s, e), buf, s, e)
         yield Run(a, b, table, slot, np.searchsorted(rows, np.arange(b - a + 1)))
