@@ -48,17 +48,23 @@ def knn(points: DataFrame, k: int = 16, size: float = 1.0, queries: DataFrame |
     points = points.select("pid", "x", "y", "z")
     todo = points if queries is None else queries.select("pid", "x", "y", "z")
     n = points.count()
+    # a query has as many others as there are points, less itself where it is one of them
+    own = points.select("pid").distinct().withColumn("own", F.lit(1))
+    todo = todo.join(own, "pid", "left").withColumn("need", F.least(F.lit(k), F.lit(n) - F.coalesce("own", F.lit(0)))).drop("own")
+    todo = materialise(todo.where("need > 0"), "todo")
     done = None
     for _ in range(max_rounds):
         found = materialise(_nearest(pairs_within(todo, points, size), k), "knn")
-        per = found.groupBy("src").agg(F.count("*").alias("c"), F.max("d2").alias("far"))
-        sure = per.where((F.col("c") >= min(k, n - 1)) & (F.col("far") <= F.lit(size * size))).select("src")
-        part = found.join(sure, "src", "left_semi")
+        per = found.groupBy(F.col("src").alias("pid")).agg(F.count("*").alias("c"), F.max("d2").alias("far"))
+        sure = todo.join(per, "pid").where((F.col("c") >= F.col("need")) & (F.col("far") <= F.lit(size * size))).select("pid")
+        part = found.join(sure.withColumnRenamed("pid", "src"), "src", "left_semi")
         done = part if done is None else done.unionByName(part)
-        todo = materialise(todo.join(sure.withColumnRenamed("src", "pid"), "pid", "left_anti"), "todo")
-        if todo.isEmpty() or n < 2:
+        todo = materialise(todo.join(sure, "pid", "left_anti"), "todo")
+        if todo.isEmpty():
             break
         size *= 2
+    else:
+        raise RuntimeError(f"neighbours not certain after {max_rounds} rounds")
     return done.select("src", "rank", "dst", "d2")
 
 

@@ -14,7 +14,7 @@ from plumbline.operators import trajectory as T
 from plumbline.operators import window as W
 from plumbline.operators.components import connected_components
 from plumbline.plans.points import BOX, HEAD, INSIDE, SOUTH, points
-from plumbline.plans.rasters import SIN, SMALL, r6
+from plumbline.plans.rasters import LEAST, r6
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,33 +30,44 @@ def query(name: str, sql: str | None = None, head: str = HEAD):
     return add
 
 
-def small(spark, d):
-    return points(spark, d).where(W.inside_half_open(SMALL))
-
-
 # ---- neighbours -------------------------------------------------------------------------------------------------
-_S = f", s as (select * from p where {SIN})"
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
-_NN = _S + f", nn as (select a.pid as src, b.pid as dst, {_D2} as d2, row_number() over (partition by a.pid order by {_D2}, b.pid) as rank from s a join s b on a.pid <> b.pid)"
 
 
-@query("knn_small", _NN + " select src, cast(rank as int) as rank, dst, d2 from nn where rank <= 5")
+def _near(size: str, seeds: str, queries: str) -> str:
+    """SQL: pairs (src, dst, d2) of queries and seeds within a length, through buckets of that length."""
+    own = f"cast(floor(x / {size}) as int) as i, cast(floor(y / {size}) as int) as j, cast(floor(z / {size}) as int) as k"
+    return f""", o as (select unnest([-1, 0, 1]) as d), sd as materialized (select pid, x, y, z, {own} from {seeds}),
+qb as materialized (select pid, x, y, z, i + o1.d as i, j + o2.d as j, k + o3.d as k from (select pid, x, y, z, {own} from {queries}), o o1, o o2, o o3),
+near as (select a.pid as src, b.pid as dst, {_D2} as d2 from qb a join sd b using (i, j, k) where a.pid <> b.pid and {_D2} <= {size} * {size})"""
+
+
+def _nearest(seeds: str, queries: str) -> str:
+    """SQL: the five nearest seeds of every query; one that finds fewer within 4 m looks at all of them."""
+    return _near("4e0", seeds, queries) + f""", sure as (select src from near group by src having count(*) >= 5),
+far as (select a.pid as src, b.pid as dst, {_D2} as d2 from {queries} a join {seeds} b on a.pid <> b.pid where a.pid not in (select src from sure)),
+nn as (select *, row_number() over (partition by src order by d2, dst) as rank from (select * from near where src in (select src from sure) union all select * from far))"""
+
+
+@query("knn_small", ", s as materialized (select * from p)" + _nearest("s", "s") + " select src, cast(rank as int) as rank, dst, d2 from nn where rank <= 5")
 def _(spark, d):
-    return K.knn(small(spark, d), 5, 8.0).select("src", "rank", "dst", "d2")
+    return K.knn(points(spark, d), 5, 4.0).select("src", "rank", "dst", "d2")
 
 
-_EDGES = _NN.replace("a.pid <> b.pid)", f"a.pid <> b.pid and {_D2} <= 625e-2)") + ", e as (select src, dst, cast(sqrt(d2) as float) as len from nn where rank <= 10)"
+def _edges(size: str) -> str:
+    return ", s as materialized (select * from p)" + _near(size, "s", "s") + """,
+ed as materialized (select src, dst, cast(sqrt(d2) as float) as len from (select *, row_number() over (partition by src order by d2, dst) as rank from near) where rank <= 10)"""
 
 
-@query("local_edges", _EDGES + " select src, dst, round(cast(len as double), 4) as len from e")
+@query("local_edges", _edges("25e-1") + " select src, dst, round(cast(len as double), 4) as len from ed")
 def _(spark, d):
-    return K.local_edges(small(spark, d)).select("src", "dst", F.round(F.col("len").cast("double"), 4).alias("len"))
+    return K.local_edges(points(spark, d)).select("src", "dst", F.round(F.col("len").cast("double"), 4).alias("len"))
 
 
-@query("knn_moments", _EDGES + """ select src as pid, count(*) as n, round(covar_pop(b.x - a.x, b.x - a.x), 6) as xx, round(covar_pop(b.x - a.x, b.y - a.y), 6) as xy, round(covar_pop(b.z - a.z, b.z - a.z), 6) as zz
- from e join s a on a.pid = src join s b on b.pid = dst group by src""")
+@query("knn_moments", _edges("25e-1") + """ select src as pid, count(*) as n, round(covar_pop(b.x - a.x, b.x - a.x), 6) as xx, round(covar_pop(b.x - a.x, b.y - a.y), 6) as xy, round(covar_pop(b.z - a.z, b.z - a.z), 6) as zz
+ from ed join s a on a.pid = src join s b on b.pid = dst group by src""")
 def _(spark, d):
-    p = small(spark, d)
+    p = points(spark, d)
     return K.moments(K.local_edges(p), p).select("pid", "n", *r6("xx", "xy", "zz"))
 
 
@@ -66,19 +77,20 @@ def _(spark, d):
     return K.shape_features(K.knn(p, 8, 8.0), p)
 
 
-@query("residue_vote", _NN.replace("from s a join s b on a.pid <> b.pid", "from s a join s b on a.pid % 5 = 0 and b.pid % 5 <> 0")
+@query("residue_vote", ", s as materialized (select * from p where classification <> 1), rest as materialized (select * from p where classification = 1)" + _nearest("s", "rest")
        + ", v as (select src, classification as label, count(*) as c from nn join s on pid = dst where rank <= 5 group by 1, 2) select src as pid, arg_max(label, {'a': c, 'b': -label}) as label from v group by src")
 def _(spark, d):
-    p = small(spark, d)
-    return L.residue(p.where("pid % 5 = 0"), p.where("pid % 5 <> 0").withColumn("label", F.col("classification").cast("long")).select("pid", "x", "y", "z", "label")).withColumn("label", F.col("label").cast("int"))
+    p = points(spark, d)  # the residue are the points of class 1, not yet classified
+    seeds = p.where("classification <> 1").withColumn("label", F.col("classification").cast("long")).select("pid", "x", "y", "z", "label")
+    return L.residue(p.where("classification = 1"), seeds).withColumn("label", F.col("label").cast("int"))
 
 
-_WALK = ", f as (with recursive t(pid, node) as (select pid, pid from s union select t.pid, u.b from t join u on t.node = u.a) select pid, min(node) as component from t group by pid)"
+_WALK = ", e as (select src as s, dst as t from ed union select dst, src from ed), f as " + LEAST.format(key="pid", nodes="s") + " select pid as node, component from f"
 
 
-@query("edge_components", _EDGES.replace("625e-2", "16e-1") + ", u as (select src as a, dst as b from e union select dst, src from e)" + _WALK + " select pid as node, component from f")
+@query("edge_components", _edges("sqrt(16e-1)") + _WALK)
 def _(spark, d):
-    p = small(spark, d)
+    p = points(spark, d)
     e = K.local_edges(p, 10, 1.6 ** 0.5).select("src", "dst")
     return connected_components(e.unionByName(p.select(F.col("pid").alias("src"), F.col("pid").alias("dst"))))
 
@@ -90,11 +102,9 @@ def _(spark, d):
     return G.ranked_components(connected_components(e.unionByName(p.select(F.col("pid").alias("src"), F.col("pid").alias("dst")))))
 
 
-@query("spanning_forest", _EDGES + """, u as (select least(src, dst) as a, greatest(src, dst) as b, min(len) as len from e group by 1, 2)
-select count(*) as n_nodes, (select count(*) from u) as n_edges from s""")
+@query("spanning_forest")
 def _(spark, d):
-    p = small(spark, d)
-    return p.agg(F.count("*").alias("n_nodes")).crossJoin(G.undirected(K.local_edges(p)).agg(F.count("*").alias("n_edges")))
+    return G.spanning_forest(K.local_edges(points(spark, d), 10, 1.2))
 
 
 @query("minimum_spanning_tree")
@@ -102,20 +112,18 @@ def _(spark, d):
     return G.spanning_forest(K.local_edges(points(spark, d))).select("src", "dst", F.round(F.col("len").cast("double"), 4).alias("len"))
 
 
-@query("mst_cut_components", _EDGES.replace("625e-2", "1e0") + ", u as (select src as a, dst as b from e union select dst, src from e)" + _WALK + " select pid as node, component from f")
+@query("mst_cut_components", _edges("1e0") + _WALK)
 def _(spark, d):
-    p = small(spark, d)
-    return G.cut_components(G.spanning_forest(K.local_edges(p, 10, 1.0)), p, 1.0)
-
-
-_TINY = _EDGES.replace(SIN, "x >= 44e0 and x < 48e0 and y >= 44e0 and y < 48e0") + ", u as (select src as a, dst as b, len from e union select dst, src, len from e)"
+    p = points(spark, d)
+    return G.cut_components(G.spanning_forest(K.local_edges(p, 10, 1.2)), p, 1.0)
 
 
-@query("support_distance_small", _TINY + """, root as (select pid from s where classification = 2),
-w as (with recursive t(pid, dist, hops) as (select pid, 0e0, 0 from root union select * from (select u.b, min(t.dist + cast(u.len as double)), min(t.hops) + 1 from t join u on t.pid = u.a where t.hops < 14 group by u.b))
- select pid, min(dist) as dist from t group by pid) select s.pid, round(w.dist, 4) as dist from s left join w using (pid)""")
+@query("support_distance_small", _edges("25e-1") + """, u as (select src as a, dst as b, len from ed union select dst, src, len from ed),
+w as (with recursive w(pid, dist) using key (pid) as (select pid, 0e0 from s where classification = 2 union
+ select u.b, min(w.dist + cast(u.len as double)) from w join u on u.a = w.pid left join recurring.w as old on old.pid = u.b where old.dist is null or w.dist + cast(u.len as double) < old.dist group by u.b)
+ select pid, dist from w) select s.pid, round(w.dist, 4) as dist from s left join w using (pid)""")
 def _(spark, d):
-    p = points(spark, d).where(W.inside_half_open((44, 44, 48, 48)))
+    p = points(spark, d)
     roots = p.where("classification = 2").select("pid", F.lit(1).alias("system"))
     return G.support_forest(K.local_edges(p), p, roots).select("pid", F.round("dist", 4).alias("dist"))
 
@@ -166,7 +174,7 @@ def _(spark, d):
     return P.ring_ids(rings(spark, d), 60, 60, 20.0, 20.0)
 
 
-_NEAR = _RINGS + f""", w as (select pid, x, y from p where {INSIDE} and pid % 4 = 0),
+_NEAR = _RINGS + f""", w as (select pid, x, y from p),
 q as (select w.pid, w.x, w.y, id, s, least(greatest(((x - s.x0) * (s.x1 - s.x0) + (y - s.y0) * (s.y1 - s.y0)) / ((s.x1 - s.x0) * (s.x1 - s.x0) + (s.y1 - s.y0) * (s.y1 - s.y0)), 0e0), 1e0) as tt from w, sg),
 g as (select pid, id, {_CROSS.format(x="x", y="y")} as ins, min({_DIST}) as d from q group by pid, x, y, id),
 n as (select pid, id, case when ins then 0e0 else d end as dist from g where ins or d <= 1e0)"""
@@ -174,13 +182,13 @@ n as (select pid, id, case when ins then 0e0 else d end as dist from g where ins
 
 @query("footprint_within", _NEAR + " select pid, id, round(dist, 6) as dist from n")
 def _(spark, d):
-    p = points(spark, d).where(W.inside_half_open(BOX)).where("pid % 4 = 0").select("pid", "x", "y")
+    p = points(spark, d).select("pid", "x", "y")
     return P.near_rings(p, rings(spark, d), 1.0).select("pid", "id", *r6("dist"))
 
 
 @query("footprint_nearest", _NEAR + " select pid, arg_min(id, {'a': dist, 'b': id}) as id from n group by pid")
 def _(spark, d):
-    p = points(spark, d).where(W.inside_half_open(BOX)).where("pid % 4 = 0").select("pid", "x", "y")
+    p = points(spark, d).select("pid", "x", "y")
     return P.nearest_ring(p, rings(spark, d), 1.0)
 
 
@@ -433,11 +441,11 @@ def _(spark, d):
     return I.label_lookup(p, p.where("pid % 3 = 0").select("pid", F.col("classification").alias("label")))
 
 
-_RECT = " select l_orderkey * 64 + rn - 1 as id, l_quantity as ax0, l_quantity * 5e-1 as ay0, l_quantity + 4 as ax1, l_quantity * 5e-1 + 3 as ay1, l_tax * 5e2 as bx0, l_discount * 2e2 as by0, l_tax * 5e2 + 5 as bx1, l_discount * 2e2 + 4 as by1 from r where l_orderkey % 10 = 0"
+_RECT = " select l_orderkey * 64 + rn - 1 as id, l_quantity as ax0, l_quantity * 5e-1 as ay0, l_quantity + 4 as ax1, l_quantity * 5e-1 + 3 as ay1, l_tax * 5e2 as bx0, l_discount * 2e2 as by0, l_tax * 5e2 + 5 as bx1, l_discount * 2e2 + 4 as by1 from r"
 
 
 def rects(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 10 = 0").selectExpr("*", "row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as rn")
+    li = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("*", "row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as rn")
     return li.selectExpr("l_orderkey * 64 + rn - 1 as id", "l_quantity as ax0", "l_quantity * 5e-1 as ay0", "l_quantity + 4 as ax1", "l_quantity * 5e-1 + 3 as ay1", "l_tax * 5e2 as bx0", "l_discount * 2e2 as by0", "l_tax * 5e2 + 5 as bx1", "l_discount * 2e2 + 4 as by1")
 
 

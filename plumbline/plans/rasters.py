@@ -268,37 +268,39 @@ def _(spark, d):
     return V.line_spread(points(spark, d), BOX)
 
 
-# a 12 x 12 window for what SQL can only reach by recursion
-SMALL = (40.0, 40.0, 52.0, 52.0)
-SCELL = "cast(floor(y - 40e0) * 12 + floor(x - 40e0) as bigint)"
-SIN = "x >= 40e0 and x < 52e0 and y >= 40e0 and y < 52e0"
+# the square that holds every point, as x and y stay below 101
+WHOLE = (0.0, 0.0, 101.0, 101.0)
+WCELL = "cast(floor(y) * 101 + floor(x) as bigint)"
 
 
-def small_mask(spark, d):
-    p = points(spark, d).where(W.inside_half_open(SMALL)).where("classification = 6")
-    return p.select(C.cell_south(SMALL, 1.0).alias("cell")).distinct()
+def whole_mask(spark, d):
+    return points(spark, d).where("classification = 6").select(C.cell_south(WHOLE, 1.0).alias("cell")).distinct()
 
 
-_MASK = f", m as (select distinct {SCELL} as cell from p where {SIN} and classification = 6)"
-_REACH = """, e as (select a.cell as s, b.cell as t from m a join m b on abs(a.cell % 12 - b.cell % 12) {cond}),
-f as (with recursive r(cell, node) as (select cell, cell from m union select r.cell, e.t from r join e on r.node = e.s) select cell, min(node) as component from r group by cell)"""
-_R8 = _REACH.format(cond="<= 1 and abs(a.cell // 12 - b.cell // 12) <= 1")
-_R4 = _REACH.format(cond="+ abs(a.cell // 12 - b.cell // 12) <= 1")
+#: Components in SQL: the smallest name a node has heard of; only nodes whose name fell tell their neighbours.
+LEAST = """(with recursive cc(node, component) using key (node) as (select {key}, {key} from {nodes} union
+ select e.t, min(cc.component) from cc join e on e.s = cc.node join recurring.cc as old on old.node = e.t where cc.component < old.component group by e.t)
+ select node as {key}, component from cc)"""
+_MASK = f", m as (select distinct {WCELL} as cell from p where classification = 6)"
+_REACH = """, e as (select a.cell as s, b.cell as t from m a, (select unnest([-1, 0, 1]) as dx) i, (select unnest([-1, 0, 1]) as dy) j, m b
+ where b.cell = a.cell + dy * 101 + dx and a.cell % 101 + dx between 0 and 100 and {cond}), f as """ + LEAST.replace("{key}", "cell").replace("{nodes}", "m")
+_R8 = _REACH.format(cond="(dx <> 0 or dy <> 0)")
+_R4 = _REACH.format(cond="abs(dx) + abs(dy) = 1")
 
 
 @query("cell_components_8", _MASK + _R8 + " select cell, component from f")
 def _(spark, d):
-    return S.cell_components(small_mask(spark, d), 12, 12, 8)
+    return S.cell_components(whole_mask(spark, d), 101, 101, 8)
 
 
 @query("cell_components_4", _MASK + _R4 + " select cell, component from f")
 def _(spark, d):
-    return S.cell_components(small_mask(spark, d), 12, 12, 4)
+    return S.cell_components(whole_mask(spark, d), 101, 101, 4)
 
 
 @query("large_components", _MASK + _R4 + " select cell, component from f where component in (select component from f group by component having count(*) >= 3)")
 def _(spark, d):
-    return S.keep_large(small_mask(spark, d), 12, 12, 3, 4)
+    return S.keep_large(whole_mask(spark, d), 101, 101, 3, 4)
 
 
 _GRID = ", o as (select unnest(range(-{r}, {r} + 1)) as dx), o2 as (select a.dx, b.dx as dy from o a, o b{cond})"
@@ -327,11 +329,11 @@ def _(spark, d):
     return S.box_sums(c, 60, 60, 2, n=F.col("n")).select("cell", (F.col("n") / F.lit(25.0)).alias("mean_n"))
 
 
-@query("hysteresis_cells", f""", c as (select {SCELL} as cell, max(z) - min(z) as s from p where {SIN} group by 1), m as (select cell, s from c where s > 20)""" + _R4
+@query("hysteresis_cells", f""", c as (select {WCELL} as cell, max(z) - min(z) as s from p group by 1), m as (select cell, s from c where s > 20)""" + _R4
        + " select cell from f where component in (select component from f join m using (cell) group by component having max(s) > 35)")
 def _(spark, d):
-    c = points(spark, d).where(W.inside_half_open(SMALL)).groupBy(C.cell_south(SMALL, 1.0).alias("cell")).agg((F.max("z") - F.min("z")).alias("strength"))
-    return S.hysteresis(c, 12, 12, 35, 20)
+    c = points(spark, d).groupBy(C.cell_south(WHOLE, 1.0).alias("cell")).agg((F.max("z") - F.min("z")).alias("strength"))
+    return S.hysteresis(c, 101, 101, 35, 20)
 
 
 @query("void_report")

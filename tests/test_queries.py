@@ -22,10 +22,7 @@ def rows(frame):
     return sorted(map(repr, frame.astype(object).where(frame.notna(), None).values.tolist()))
 
 
-SLOW = {"cell_components_4", "cell_components_8", "large_components", "hysteresis_cells", "support_distance_small", "edge_components", "mst_cut_components"}
-
-
-@pytest.mark.parametrize("name", sorted(set(registry.SQL) - SLOW) + ["cell_components_8"])
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_matches_sql(spark, duck, name):
     assert rows(registry.QUERIES[name](spark, DIR).toPandas()) == rows(duck.execute(registry.SQL[name]).fetch_df())
 
