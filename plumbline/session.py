@@ -33,8 +33,20 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+#: Bytes of an Arrow batch on its way to or from a Python worker, at most (a row above it comes alone).
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application."""
+    """Make this package importable in Python workers, once per application, and bound their batches in bytes.
+
+    Spark bounds batches by 10,000 rows and 64 MB; every running task holds one on each side of the pipe. A smaller
+    bound that the session sets itself, in plain bytes, is kept.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(limit)).rstrip("bB")
+    if not now.lstrip("-").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(limit, BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
