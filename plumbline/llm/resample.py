@@ -202,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[M
         return Model(np.zeros(BUCKETS), None), materialise(score(docs, np.zeros(BUCKETS)), "scores")
     ratio = np.log((hit + 0.5) / (hit.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS))
     scores = materialise(score(docs, ratio), "scores")
-    held = spark.createDataFrame([(int(i), bool(g)) for i, g in zip(ids[~half], good[~half], strict=True)] or [(-1, True)], "doc_id long, good boolean")
+    # as an Arrow table: a list of rows would start Python workers of another kind, which stay idle beside the others
+    held = spark.createDataFrame(pa.table({"doc_id": ids[~half], "good": good[~half]}))
     seen = scores.join(F.broadcast(held), "doc_id").groupBy("doc_id").agg(F.max("log_weight").alias("w"), F.first("good").alias("good")).toPandas()
     cut = best_cut(seen["w"].to_numpy(), seen["good"].to_numpy()) if len(seen) else -np.inf
     k = scores.where(F.col("log_weight") >= F.lit(float(cut))).count()
