@@ -48,6 +48,16 @@ def test_strangers_over_tiles(spark, tiles):
     assert len(got) == len(ask) * 7 and set(got) == brute(p, ask, 7)
 
 
+def test_shapes_over_tiles(spark, tiles):
+    p = cloud()
+    points = spark.createDataFrame(p, SCHEMA)
+    got = {r.pid: r for r in K.nearest_moments(points, 8, 8.0).collect()}
+    want = {r.pid: r for r in K.moments(K.knn(points, 8, 8.0), points).collect()}
+    assert len(got) == len(p) and got.keys() == want.keys()
+    for q, r in got.items():
+        assert all(r[c] == pytest.approx(want[q][c], rel=1e-9, abs=1e-9) for c in ("xx", "xy", "zz"))
+
+
 def test_points_without_a_place(spark, tiles):
     p = cloud()
     odd = [(7001, None, 1.0, 1.0), (7002, float("nan"), 1.0, 1.0), (7003, 1.0, float("inf"), 1.0)]
