@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.knn import vote
+from plumbline.operators.knn import nearest_tags, vote
 from plumbline.operators.stencil import box_sums
+from plumbline.session import materialise
 
 # Label names in the order of their codes, how specific each is, and the map's claim order with the
 # labels each claim may take from.
@@ -109,18 +110,18 @@ def decide(points: DataFrame, nx: int, ny: int, quorum: int = 20, k: int = 5) ->
     p = p.join(near, "cell", "left")
     lonely = ((F.col("label") == CODE["building"]) & (F.col("nb") - 1 < quorum)) | ((F.col("label") == CODE["veg_high"]) & (F.col("nv") - 1 < quorum))
     p = p.withColumn("label", F.when(lonely, UNSET).otherwise(F.col("label"))).withColumn("settled", F.when(lonely & (F.col("settled") < 2), 2).otherwise(F.col("settled")))
+    p = materialise(p.select("pid", "x", "y", "z", "claims", "label", "settled"), "settled")
     seeds, rest = p.where(F.col("label") != UNSET), p.where(F.col("label") == UNSET)
-    from plumbline.operators.knn import knn
-
-    near_k = knn(seeds.select("pid", "x", "y", "z"), k, 1.0, rest.select("pid", "x", "y", "z"))
-    votes = near_k.join(seeds.select(F.col("pid").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("c"))
+    near_k = nearest_tags(seeds.select("pid", "x", "y", "z", F.col("label").cast("long").alias("tag")), k, 1.0, rest)
+    votes = near_k.groupBy("src", F.col("tag").cast("int").alias("label")).agg(F.count("*").alias("c"))
     own = rest.select(F.col("pid").alias("src"), "claims", "settled")
-    v = votes.join(own, "src")
+    # sizes of packed files understate rows: without the hints Spark would broadcast points by way of the driver
+    v = votes.join(own.hint("merge"), "src")
     mine = F.pow(F.lit(2), F.col("label")).cast("int").bitwiseAND(F.col("claims")) > 0
     many = F.bit_count("claims") >= 2
     v = v.withColumn("mine", F.when(many & mine, 1).otherwise(0))
     best = v.groupBy("src").agg(F.max_by("label", F.struct(F.col("mine"), F.col("c"), -F.col("label"))).alias("voted"))
-    out = rest.select("pid", "settled").join(best.withColumnRenamed("src", "pid"), "pid", "left")
+    out = rest.select("pid", "settled").join(best.withColumnRenamed("src", "pid").hint("merge"), "pid", "left")
     return seeds.select("pid", "label", "settled").unionByName(out.select("pid", F.coalesce("voted", F.lit(UNSET)).alias("label"), "settled"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import components as CC
 from plumbline.operators import knn as K
 from plumbline.operators import labels as L
+from plumbline.plans import graphs
 
 SCHEMA = "pid long, x double, y double, z double"
 DIR = "/root/testdata/sf0.001"
@@ -48,6 +49,12 @@ def test_strangers_over_tiles(spark, tiles):
     assert len(got) == len(ask) * 7 and set(got) == brute(p, ask, 7)
 
 
+def rows_of_joins(df):
+    """Names of the joins and windows in the plan that runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [w for w in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin") if w in plan]
+
+
 def test_shapes_over_tiles(spark, tiles):
     p = cloud()
     points = spark.createDataFrame(p, SCHEMA)
@@ -58,6 +65,16 @@ def test_shapes_over_tiles(spark, tiles):
         assert all(r[c] == pytest.approx(want[q][c], rel=1e-9, abs=1e-9) for c in ("xx", "xy", "zz"))
 
 
+def test_decisions_over_tiles(spark, monkeypatch):
+    claims = graphs.claims(spark, DIR).select("pid", "cell", "x", "y", "z", "claims")
+    want = sorted(map(tuple, L.decide(claims, 60, 60, quorum=8).collect()))
+    monkeypatch.setattr(K, "FEW", 40)
+    got = L.decide(claims, 60, 60, quorum=8)
+    assert sorted(map(tuple, got.collect())) == want
+    # points are not gathered on the driver
+    assert "BroadcastHashJoin" not in rows_of_joins(got)
+
+
 def test_points_without_a_place(spark, tiles):
     p = cloud()
     odd = [(7001, None, 1.0, 1.0), (7002, float("nan"), 1.0, 1.0), (7003, 1.0, float("inf"), 1.0)]
