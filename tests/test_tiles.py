@@ -65,6 +65,18 @@ def test_shapes_over_tiles(spark, tiles):
         assert all(r[c] == pytest.approx(want[q][c], rel=1e-9, abs=1e-9) for c in ("xx", "xy", "zz"))
 
 
+def test_votes_over_tiles(spark, tiles):
+    p = cloud()
+    label = {q: q % 3 for q, *_ in p}
+    ask = [(9000 + i, float(i * 3 - 20), float(i), 1.5) for i in range(12)]
+    seeds = spark.createDataFrame([(*t, label[t[0]]) for t in p], SCHEMA + ", label long")
+    got = {r.pid: r.label for r in L.residue(spark.createDataFrame(ask, SCHEMA), seeds).collect()}
+    votes = {}
+    for q, _, n, _ in brute(p, ask, 5):
+        votes.setdefault(q, []).append(label[n])
+    assert got == {q: max(set(v), key=lambda x: (v.count(x), -x)) for q, v in votes.items()}
+
+
 def test_decisions_over_tiles(spark, monkeypatch):
     claims = graphs.claims(spark, DIR).select("pid", "cell", "x", "y", "z", "claims")
     want = sorted(map(tuple, L.decide(claims, 60, 60, quorum=8).collect()))
