@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators import knn as K
 from plumbline.operators.components import connected_components
 from plumbline.session import drop_materialised, materialise
 
@@ -21,12 +22,32 @@ def undirected(edges: DataFrame) -> DataFrame:
     )
 
 
+def near_components(points: DataFrame, k: int, cap: float) -> DataFrame:
+    """(node, component) of all points under their capped edges: components of tiles, joined by the nodes they share."""
+    p = K.stored(points)
+    rows = materialise(K.local_components(p, k, cap), "parts")
+    known = connected_components(rows.where("shared").select(F.col("label").alias("src"), F.col("node").alias("dst")))
+    # sizes of packed files understate rows: no broadcast by way of the driver
+    own = rows.where("own").join(known.select(F.col("node").alias("label"), "component").hint("merge"), "label", "left")
+    lone = p.where(~K.has_place()).select(F.col("pid").alias("node"), F.col("pid").alias("component"))
+    return own.select("node", F.coalesce("component", "label").alias("component")).unionByName(lone)
+
+
+def near_forest(points: DataFrame, k: int, cap: float) -> DataFrame:
+    """(src, dst, len): the least spanning forest of the capped edges, of which tiles first drop what no forest holds."""
+    return _boruvka(materialise(K.local_forests(points, k, cap), "edges"), 40)
+
+
 def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(src, dst, len): the least spanning forest, edges ordered by (len, src, dst): Boruvka rounds.
+    """(src, dst, len): the least spanning forest, edges ordered by (len, src, dst)."""
+    return _boruvka(materialise(undirected(edges), "edges"), max_rounds)
+
+
+def _boruvka(e: DataFrame, max_rounds: int) -> DataFrame:
+    """In a round every component takes its least outgoing edge; components joined by the edges taken become one.
 
-    In a round every component takes its least outgoing edge; components joined by the edges taken become one.
+    An edge (src < dst) may come twice.
     """
-    e = materialise(undirected(edges), "edges")
     tree, work = None, e.select("src", "dst", "len", F.col("src").alias("cs"), F.col("dst").alias("cd"))
     for _ in range(max_rounds):
         key = F.struct("len", "src", "dst", "cs", "cd")
@@ -39,12 +60,12 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         tree = part if tree is None else tree.unionByName(part)
         lab = materialise(connected_components(best, "cs", "cd"), "lab")
         s, d = lab.select(F.col("node").alias("cs"), F.col("component").alias("ns")), lab.select(F.col("node").alias("cd"), F.col("component").alias("nd"))
-        nxt = work.join(s, "cs").join(d, "cd").where("ns <> nd").select("src", "dst", "len", F.col("ns").alias("cs"), F.col("nd").alias("cd"))
+        nxt = work.join(s.hint("merge"), "cs").join(d.hint("merge"), "cd").where("ns <> nd").select("src", "dst", "len", F.col("ns").alias("cs"), F.col("nd").alias("cd"))
         nxt = materialise(nxt, "work")  # a component with an edge left has been in a best edge: inner joins lose nothing
-        if work is not None and _ > 0:
-            drop_materialised(work)
+        drop_materialised(lab)
+        drop_materialised(work)
         work = nxt
-    return tree if tree is not None else e.where("false")
+    return tree if tree is not None else work.select("src", "dst", "len")
 
 
 def cut_components(tree: DataFrame, points: DataFrame, longest: float) -> DataFrame:

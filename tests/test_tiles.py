@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import components as CC
+from plumbline.operators import graph as G
 from plumbline.operators import knn as K
 from plumbline.operators import labels as L
 from plumbline.plans import graphs
@@ -92,3 +93,41 @@ def test_points_without_a_place(spark, tiles):
     odd = [(7001, None, 1.0, 1.0), (7002, float("nan"), 1.0, 1.0), (7003, 1.0, float("inf"), 1.0)]
     got = K.knn(spark.createDataFrame(p + odd, SCHEMA), 3, 4.0).select("src", "rank", "dst", "d2").collect()
     assert {tuple(r) for r in got} == brute(p, p, 3)
+
+
+def test_state_of_many_edges(spark):
+    """A round's state is told for more edges than a sum of hashes has room for."""
+    n, h = CC._mark(spark.range(24_000_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert n == 24_000_000 and h != 0
+
+
+def kruskal(edges):
+    up: dict[int, int] = {}
+
+    def root(a):
+        while up.setdefault(a, a) != a:
+            a = up[a]
+        return a
+
+    kept = set()
+    for n, a, b in sorted({(n, min(a, b), max(a, b)) for a, b, n in edges}):
+        if (x := root(a)) != (y := root(b)):
+            up[max(x, y)] = min(x, y)
+            kept.add((a, b, n))
+    return kept, root
+
+
+def edges_of(p, k, cap):
+    return [(q, n, float(np.float32(np.sqrt(d)))) for q, _, n, d in brute(p, p, k, cap)]
+
+
+@pytest.mark.parametrize("cap", [0.8, 2.0])
+def test_components_over_tiles(spark, tiles, cap):
+    p = cloud()
+    odd = [(7001, None, 1.0, 1.0)]
+    root = kruskal(edges_of(p, 4, cap))[1]
+    got = [tuple(r) for r in G.near_components(spark.createDataFrame(p + odd, SCHEMA), 4, cap).select("node", "component").collect()]
+    want = {}
+    for q, *_ in p:
+        want.setdefault(root(q), []).append(q)
+    assert sorted(got) == sorted([(q, min(v)) for v in want.values() for q in v] + [(7001, 7001)])
