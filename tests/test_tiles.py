@@ -56,6 +56,14 @@ def rows_of_joins(df):
     return [w for w in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin") if w in plan]
 
 
+def test_edges_over_tiles(spark, tiles):
+    p = cloud()
+    edges = K.local_edges(spark.createDataFrame(p, SCHEMA), 10, 2.5)
+    got = sorted((r.src, r.dst, r.len) for r in edges.collect())
+    assert got == sorted((q, n, float(np.float32(np.sqrt(d)))) for q, _, n, d in brute(p, p, 10, 2.5))
+    assert rows_of_joins(edges) == []
+
+
 def test_shapes_over_tiles(spark, tiles):
     p = cloud()
     points = spark.createDataFrame(p, SCHEMA)
