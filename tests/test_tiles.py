@@ -64,6 +64,18 @@ def test_edges_over_tiles(spark, tiles):
     assert rows_of_joins(edges) == []
 
 
+def test_moments_over_tiles(spark, tiles):
+    p = cloud()
+    points = spark.createDataFrame(p, SCHEMA)
+    moments = K.local_moments(points, 10, 2.5)
+    assert rows_of_joins(moments) == []
+    want = {r.pid: r for r in K.moments(K.local_edges(points), points).collect()}
+    got = {r.pid: r for r in moments.collect()}
+    assert got.keys() == want.keys()
+    for q, r in got.items():
+        assert r.n == want[q].n and all(r[c] == pytest.approx(want[q][c], abs=1e-9) for c in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
 def test_shapes_over_tiles(spark, tiles):
     p = cloud()
     points = spark.createDataFrame(p, SCHEMA)
