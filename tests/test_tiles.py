@@ -151,3 +151,14 @@ def test_components_over_tiles(spark, tiles, cap):
     for q, *_ in p:
         want.setdefault(root(q), []).append(q)
     assert sorted(got) == sorted([(q, min(v)) for v in want.values() for q in v] + [(7001, 7001)])
+
+
+@pytest.mark.parametrize("cap", [0.8, 2.5])
+def test_forest_over_tiles(spark, tiles, cap):
+    p = cloud()
+    points = spark.createDataFrame(p, SCHEMA)
+    got = [tuple(r) for r in G.near_forest(points, 10, cap).select("src", "dst", "len").collect()]
+    want = kruskal(edges_of(p, 10, cap))[0]
+    assert len(got) == len(want) and set(got) == want
+    # tiles drop most edges before any round
+    assert K.local_forests(points, 10, cap).count() < 0.6 * K.local_edges(points, 10, cap).count()
