@@ -81,6 +81,28 @@ def ranked_components(labels: DataFrame) -> DataFrame:
     return labels.join(rank.select("component", "comp"), "component").select("node", "comp")
 
 
+def near_support_distances(points: DataFrame, k: int, cap: float) -> DataFrame:
+    """(pid, dist): shortest ways from the points of ``tag`` 1 to all points along capped edges; null where there is none.
+
+    Tiles solve their own edges first; rounds then run over the edges by which a node may still come nearer.
+    """
+    p = K.stored(points, "tag")
+    rows = materialise(K.local_ways(p, k, cap), "ways")
+    ways = rows.where("dst is not null").select(F.col("pid").alias("src"), "dst", "len")
+    start = rows.where("dst is null").groupBy("pid").agg(F.min("len").alias("dist")).withColumn("fresh", F.lit(True))
+    # ways from roots are done in the tiles
+    roots = p.where("tag = 1").select("pid", F.lit(0.0).alias("dist"), F.lit(False).alias("fresh"))
+    state = materialise(start.unionByName(roots), "state")
+    while not state.where("fresh").isEmpty():
+        offer = ways.join(state.where("fresh").select(F.col("pid").alias("src"), "dist").hint("merge"), "src").groupBy(F.col("dst").alias("pid")).agg(F.min(F.col("dist") + F.col("len")).alias("new"))
+        j = state.select("pid", "dist").join(offer.hint("merge"), "pid", "full")
+        better = F.col("dist").isNull() | F.coalesce(F.col("new") < F.col("dist"), F.lit(False))
+        nxt = materialise(j.select("pid", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), better.alias("fresh")), "state")
+        drop_materialised(state)
+        state = nxt
+    return p.select("pid").join(state.select("pid", "dist").hint("merge"), "pid", "left")
+
+
 def support_forest(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(pid, pred, root, system, dist, depth): metric shortest paths from root points to all nodes.
 

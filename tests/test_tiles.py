@@ -162,3 +162,23 @@ def test_forest_over_tiles(spark, tiles, cap):
     assert len(got) == len(want) and set(got) == want
     # tiles drop most edges before any round
     assert K.local_forests(points, 10, cap).count() < 0.6 * K.local_edges(points, 10, cap).count()
+
+
+@pytest.mark.parametrize(("k", "every"), [(10, 4), (3, 90)])
+def test_ways_over_tiles(spark, tiles, k, every):
+    p = cloud()
+    odd = [(7000, None, 1.0, 1.0), (7001, None, 1.0, 1.0)]
+    tag = {q: int(i % every == 0) for i, (q, *_) in enumerate(p + odd)}
+    dist = {q: 0.0 for q in tag if tag[q]}
+    edges = edges_of(p, k, 2.5)
+    while True:
+        before = dict(dist)
+        for a, b, n in edges:
+            for u, v in ((a, b), (b, a)):
+                if u in dist and dist[u] + n < dist.get(v, float("inf")):
+                    dist[v] = dist[u] + n
+        if dist == before:
+            break
+    points = spark.createDataFrame([(*t, tag[t[0]]) for t in p + odd], SCHEMA + ", tag long")
+    got = [tuple(r) for r in G.near_support_distances(points, k, 2.5).select("pid", "dist").collect()]
+    assert sorted(got) == sorted((q, dist.get(q)) for q in tag)
