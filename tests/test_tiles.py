@@ -9,6 +9,7 @@ from plumbline.operators import graph as G
 from plumbline.operators import knn as K
 from plumbline.operators import labels as L
 from plumbline.plans import graphs
+from plumbline.plans.points import places, points
 
 SCHEMA = "pid long, x double, y double, z double"
 DIR = "/root/testdata/sf0.001"
@@ -64,6 +65,28 @@ def test_edges_over_tiles(spark, tiles):
     assert rows_of_joins(edges) == []
 
 
+def test_columns_travel_packed(spark, tiles):
+    r = np.random.default_rng(2)
+    grid = np.rint(r.random(5000) * 1e6) / 1e4
+    for v in (grid, r.random(50), r.integers(-(2**63), 2**63 - 1, 50), np.array([-0.0, 1.0]), np.array([1e300, -5e-324, 2.0**63]), np.array([3], np.int32)):
+        assert K.unpack(K.pack(v), len(v)).tobytes() == (v if v.dtype.kind == "f" else v.astype(np.int64)).tobytes()
+    assert len(K.pack(grid)) < 3.2 * len(grid)
+    # a tile's rows of a task are one row of the exchange
+    plan = K.local_edges(spark.createDataFrame(cloud(), SCHEMA), 10, 2.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapGroupsInArrow") < plan.index("Exchange hashpartitioning(bx") < plan.index("MapInArrow") < plan.index("Generate")
+
+
+def test_places_are_those_of_points(spark, tmp_path):
+    li = spark.read.parquet(f"{DIR}/lineitem.parquet")
+    # rows that agree in the leading keys only
+    twins = li.limit(300).selectExpr("* except (l_extendedprice, l_returnflag)", "l_extendedprice - 1 as l_extendedprice", "'A' as l_returnflag").select(li.columns)
+    li.unionByName(twins).unionByName(twins).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want, got = points(spark, str(tmp_path)).select("pid", "x", "y", "z"), places(spark, str(tmp_path))
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    read = got._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1]
+    assert "l_quantity" in read and "l_extendedprice" not in read and "l_shipdate" not in read
+
+
 def test_moments_over_tiles(spark, tiles):
     p = cloud()
     points = spark.createDataFrame(p, SCHEMA)
