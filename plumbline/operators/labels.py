@@ -130,8 +130,8 @@ def quorum_counts(points: DataFrame, nx: int, ny: int, flag: Column) -> DataFram
     return box_sums(points.withColumn("_f", flag.cast("int")), nx, ny, 1, others=F.col("_f"))
 
 
-def residue(points: DataFrame, seeds: DataFrame, k: int = 5) -> DataFrame:
-    return vote(points, seeds, k)
+def residue(points: DataFrame, seeds: DataFrame, k: int = 5, written: bool = False) -> DataFrame:
+    return vote(points, seeds, k, written=written)
 
 
 def map_claims(label: Column, water: Column, dock: Column, bridge: Column, building: Column, ground: Column) -> tuple[Column, Column]:

@@ -121,6 +121,19 @@ def test_votes_over_tiles(spark, tiles):
     assert got == {q: max(set(v), key=lambda x: (v.count(x), -x)) for q, v in votes.items()}
 
 
+def test_votes_are_counted_in_tiles(spark, tiles, monkeypatch):
+    tags = np.array([7, 2, 2, 7, 5, -1, 9])
+    label = K._as_votes(4, np.array([0, 0, 0, 0, 2, 3, 3]), None, None, None, tags)[0]
+    assert label.to_pylist() == [2, None, 5, -1]
+    assert K._as_votes(2, np.zeros(0, np.int64), None, None, None, np.zeros(0, np.int64))[0].to_pylist() == [None, None]
+    # points are written once, by one pass over the table, and no vote becomes a row of an exchange
+    names, write = [], K.materialise
+    monkeypatch.setattr(K, "materialise", lambda df, name: names.append(name) or write(df, name))
+    monkeypatch.setattr(K, "_rest", lambda left, *a: left.select("pid", F.lit(0).cast("long").alias("label")))
+    plan = graphs.QUERIES["residue_vote"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert names == ["points", "knn"] and "Aggregate" not in plan and "Exchange" not in plan
+
+
 def test_decisions_over_tiles(spark, monkeypatch):
     claims = graphs.claims(spark, DIR).select("pid", "cell", "x", "y", "z", "claims")
     want = sorted(map(tuple, L.decide(claims, 60, 60, quorum=8).collect()))
