@@ -23,14 +23,21 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def near_components(points: DataFrame, k: int, cap: float) -> DataFrame:
-    """(node, component) of all points under their capped edges: components of tiles, joined by the nodes they share."""
+    """(node, component) of all points under their capped edges: components of tiles, joined by the nodes they share.
+
+    Single-linkage groups are the same: a least forest, cut at a length, ties what the edges up to that length tie.
+    """
     p = K.stored(points)
     rows = materialise(K.local_components(p, k, cap), "parts")
-    known = connected_components(rows.where("shared").select(F.col("label").alias("src"), F.col("node").alias("dst")))
     # sizes of packed files understate rows: no broadcast by way of the driver
-    own = rows.where("own").join(known.select(F.col("node").alias("label"), "component").hint("merge"), "label", "left")
+    far, rim = (rows.where(F.col(c).isNotNull()).select(F.col("label").alias(as_), F.explode(c).alias("node")) for c, as_ in (("far", "src"), ("rim", "dst")))
+    links = materialise(far.join(rim.hint("merge"), "node").where("src <> dst").select("src", "dst").distinct(), "links")
+    known = connected_components(links).select(F.col("node").alias("label"), "component")
+    own = rows.where("own is not null")
+    joined = own.where("open").join(known.hint("merge"), "label", "left").select(F.coalesce("component", "label").alias("component"), "own")
+    named = joined.unionByName(own.where("not open").select(F.col("label").alias("component"), "own"))
     lone = p.where(~K.has_place()).select(F.col("pid").alias("node"), F.col("pid").alias("component"))
-    return own.select("node", F.coalesce("component", "label").alias("component")).unionByName(lone)
+    return named.select(F.explode("own").alias("node"), "component").unionByName(lone)
 
 
 def near_forest(points: DataFrame, k: int, cap: float) -> DataFrame:

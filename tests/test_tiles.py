@@ -1,5 +1,6 @@
 """Neighbours, edges and components over many tiles, held against brute force; no pair of points becomes a row."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +190,37 @@ def test_components_over_tiles(spark, tiles, cap):
     assert sorted(got) == sorted([(q, min(v)) for v in want.values() for q in v] + [(7001, 7001)])
 
 
+def test_groups_of_tiles_are_those_of_the_tree(spark, tiles, monkeypatch):
+    """Cut groups are found in tiles and joined by places on their rims: no round of a forest, no row for each edge or copy."""
+    monkeypatch.setattr(K, "LISTED", 7)
+    p = cloud()
+    points = spark.createDataFrame(p, SCHEMA)
+    want = sorted(map(tuple, G.cut_components(G.near_forest(points, 10, 1.2), points, 1.0).select("node", "component").collect()))
+    names, write = [], G.materialise
+    for m in (K, G):
+        monkeypatch.setattr(m, "materialise", lambda df, name: names.append(name) or write(df, name))
+    monkeypatch.setattr(graphs, "places", lambda spark, d: points)
+    got = graphs.QUERIES["mst_cut_components"](spark, DIR)
+    assert names == ["points", "parts", "links"] and sorted(map(tuple, got.select("node", "component").collect())) == want
+    rows = K.local_components(points, 10, 2.0).collect()
+    pile = {q for q, *a in p if a == [3.0, -2.0, 1.0]}
+    assert len(pile) == 60 and all(pile & set(r[c] or ()) <= {min(pile)} for r in rows for c in ("rim", "far"))
+    own = [q for r in rows for q in r.own or ()]
+    assert sorted(own) == sorted(q for q, *_ in p) and max(len(r[c] or ()) for r in rows for c in ("own", "rim", "far")) == 7
+
+
+def test_groups_end_at_the_cut(spark, tmp_path):
+    """Lengths just above the cut are told apart, as in the SQL, though 32 bits do not hold the difference."""
+    one = spark.read.parquet(f"{DIR}/lineitem.parquet").limit(1)
+    rows = [one.selectExpr("* except (l_quantity)", f"{z}D as l_quantity").select(one.columns) for z in (1.0, 2.0, 3.00000002)]
+    rows[0].unionByName(rows[1]).unionByName(rows[2]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in graphs.QUERIES["mst_cut_components"](spark, str(tmp_path)).select("node", "component").collect())
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(con.execute(graphs.SQL["mst_cut_components"]).fetchall())
+    assert [c - got[0][0] for _, c in got] == [0, 0, 2]
+
+
 @pytest.mark.parametrize("cap", [0.8, 2.5])
 def test_forest_over_tiles(spark, tiles, cap):
     p = cloud()
